@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bundleloom.llm import pii, toxicity, urlfilter
+from bundleloom.llm import ann, embed_dedup, mixing, pii, simhash, substring, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,26 @@ def op1_pii(spark, sf_dir):
     return pii.digest(_table(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark, sf_dir):
+    return mixing.digest(_table(spark, sf_dir, "documents"))
+
+
+def op4_nearest(spark, sf_dir):
+    return ann.digest(_table(spark, sf_dir, "embeddings"))
+
+
+def op5_simhash(spark, sf_dir):
+    return simhash.digest(_table(spark, sf_dir, "documents"))
+
+
+def op6_embedding_dedup(spark, sf_dir):
+    return embed_dedup.digest(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_substring_dedup(spark, sf_dir):
+    return substring.digest(_table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark, sf_dir):
     return urlfilter.judge(_table(spark, sf_dir, "pages"))
 
@@ -23,5 +43,5 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op8_url_filter, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_mixing, op4_nearest, op5_simhash, op6_embedding_dedup, op8_url_filter, op9_substring_dedup, op10_toxicity)}
 SQL: dict[str, str] = {}
