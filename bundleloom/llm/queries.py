@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bundleloom.llm import ann, embed_dedup, mixing, pii, simhash, substring, toxicity, urlfilter
+from bundleloom.llm import ann, embed_dedup, license, mixing, pii, sentencepiece, simhash, substring, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_mixing(spark, sf_dir):
     return mixing.digest(_table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark, sf_dir):
+    return sentencepiece.digest(_table(spark, sf_dir, "documents"))
+
+
 def op4_nearest(spark, sf_dir):
     return ann.digest(_table(spark, sf_dir, "embeddings"))
 
@@ -35,6 +39,10 @@ def op9_substring_dedup(spark, sf_dir):
     return substring.digest(_table(spark, sf_dir, "documents"))
 
 
+def op7_license(spark, sf_dir):
+    return license.digest(_table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark, sf_dir):
     return urlfilter.judge(_table(spark, sf_dir, "pages"))
 
@@ -43,5 +51,5 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_mixing, op4_nearest, op5_simhash, op6_embedding_dedup, op8_url_filter, op9_substring_dedup, op10_toxicity)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_mixing, op3_sentencepiece, op4_nearest, op5_simhash, op6_embedding_dedup, op7_license, op8_url_filter, op9_substring_dedup, op10_toxicity)}
+SQL: dict[str, str] = {"op7_license": license.SQL}
