@@ -272,9 +272,16 @@ def keep_one(docs: DataFrame, width: int = 5, radius: int = RADIUS) -> DataFrame
 
     Rows that repeat the kept id are reduced to the first by content.
     """
-    kept = components(docs.filter(F.col("doc_id").isNotNull()), width, radius).filter("id = component").select(F.col("id").alias("_kept_id")).distinct()
+    named = docs.filter(F.col("doc_id").isNotNull())
+    kept = components(named, width, radius).filter("id = component").groupBy(F.col("id").alias("_kept_id")).agg(F.count("*").alias("_rows"))
+    kept = stage(kept, "simhash-kept")
     hit = docs.join(kept, docs.doc_id == F.col("_kept_id"), "left_semi")
+    rest = docs.filter(F.col("doc_id").isNull())
+    again = kept.filter("_rows > 1")
+    if again.isEmpty():
+        return hit.unionByName(rest)
+    # only rows that repeat an id are brought together
     whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    one = hit.groupBy("doc_id").agg(F.min(whole).alias("_row"))
+    one = hit.join(again, hit.doc_id == F.col("_kept_id"), "left_semi").groupBy("doc_id").agg(F.min(whole).alias("_row"))
     one = one.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
-    return one.unionByName(docs.filter(F.col("doc_id").isNull()))
+    return hit.join(again, hit.doc_id == F.col("_kept_id"), "left_anti").unionByName(one).unionByName(rest)
