@@ -50,8 +50,8 @@ def targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int
 def fill(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their lengths sum as near ``budget`` as they can.
 
-    lengths ascending and positive.  A proportional share is taken first; what is left goes to long
-    lengths while it is large, and the last few longest lengths' worth to the dynamic programme.
+    lengths ascending and positive.  A proportional share is taken first, and dynamic programming settles
+    the last few longest lengths' worth.
     """
     whole = int((lengths * counts).sum())
     if budget <= 0 or not len(lengths):
@@ -60,32 +60,34 @@ def fill(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         return counts.copy()
     take = np.minimum(counts, np.floor(counts * (budget / whole)).astype(np.int64))
     left = budget - int((take * lengths).sum())
-    keep_back = 4 * int(lengths[-1])
+    # the programme gets a few longest lengths' worth of budget and documents, by taking more or giving back
+    longest = int(lengths[-1])
+    room = min(budget, 16 * longest if longest < 60_000 else 4 * longest)
     for i in reversed(range(len(lengths))):
-        if left <= keep_back:
-            break
-        more = min(int(counts[i] - take[i]), (left - keep_back) // int(lengths[i]))
+        size = int(lengths[i])
+        more = min(int(counts[i] - take[i]), (left - room) // size) if left > room else -min(int(take[i]), -(-(room - left) // size))
         take[i] += more
-        left -= more * int(lengths[i])
-    # bounded knapsack over sums 0..left: which item first reached each sum
-    reached, by = np.zeros(left + 1, dtype=bool), np.full(left + 1, -1)
+        left -= more * size
+    # bounded knapsack over sums from 0 to a little over what is left: which item first reached each sum
+    top = left + longest
+    reached, by = np.zeros(top + 1, dtype=bool), np.full(top + 1, -1)
     reached[0] = True
     items: list[tuple[int, int]] = []
     for i in range(len(lengths)):
-        spare, size = min(int(counts[i] - take[i]), left // int(lengths[i])), 1
+        spare, size = min(int(counts[i] - take[i]), top // int(lengths[i])), 1
         while spare > 0 and not reached[left]:
             n = min(size, spare)
             w = n * int(lengths[i])
-            if w <= left:
-                new = ~reached[w:]
-                new &= reached[: left + 1 - w]
-                by[w:][new] = len(items)
-                reached[w:] |= new
+            new = ~reached[w:]
+            new &= reached[: top + 1 - w]
+            by[w:][new] = len(items)
+            reached[w:] |= new
             items.append((i, n))
             spare, size = spare - n, size * 2
         if reached[left]:
             break
-    at = int(np.flatnonzero(reached)[-1])
+    sums = np.flatnonzero(reached)
+    at = int(sums[np.abs(sums - left).argmin()])
     while at:
         i, n = items[by[at]]
         take[i] += n
@@ -159,7 +161,7 @@ def digest(docs: DataFrame) -> DataFrame:
 def take(docs: DataFrame) -> DataFrame:
     """The mixed documents themselves: each row as often as the mix takes it.
 
-    Rows that share an id are told apart by source and size; among rows alike in these, as many copies as
+    Rows that share an id are told apart by source and size; among rows alike in these too, the copies that
     the mix takes of them all are dealt out evenly.
     """
     own = mix(docs).filter("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"))
@@ -167,8 +169,12 @@ def take(docs: DataFrame) -> DataFrame:
     flat = docs.withColumn("_words", _count_udf()(F.col("text")))
     on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
     hit = flat.join(own, on)
-    each = F.ceil(F.col("_copies") / F.col("_rows")).cast("int")
-    return hit.withColumn("_copy", F.explode(F.sequence(F.lit(1), each))).select(*[f"`{c}`" for c in docs.columns])
+    # rows alike in all three: told apart by a place, so that their copies come out exactly
+    alike = hit.filter("_rows > 1")
+    place = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy("text"))
+    each = F.floor(F.col("_copies") / F.col("_rows")) + F.when(place <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
+    hit = hit.filter("_rows = 1").withColumn("_each", F.col("_copies")).unionByName(alike.withColumn("_each", each)).filter("_each > 0")
+    return hit.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_each").cast("int")))).select(*[f"`{c}`" for c in docs.columns])
 
 
 def _count_udf():
