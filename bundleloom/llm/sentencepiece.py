@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 #: Words whose ids a task keeps for reuse.
-CACHE = 400_000
+CACHE = 1_000_000
 
 
 class Pieces:
@@ -68,6 +69,13 @@ class Pieces:
         self.byte_of = {i: b for b, i in enumerate(self.byte)} if self.has_bytes else {}
         self.longest = max(map(len, self.id), default=1)
         self.lowest = min(self.score.values(), default=0.0) - 10
+        # lengths of the pieces that end in three given characters, longest first: few of all lengths are worth a look
+        ends: dict[str, set[int]] = {}
+        for piece in self.id:
+            if len(piece) > 2:
+                ends.setdefault(piece[-3:], set()).add(len(piece))
+        self.sizes = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
+        self.whole: dict[str, bool] = {}
         self.parts: dict[str, tuple[str, str] | None] = {}
         self.fits: dict[tuple[str, str], bool] = {}
         # characters that stand in no longer piece are words of their own; a mark starts a word
@@ -106,6 +114,15 @@ class Pieces:
             s[at : at + 2] = [s[at] + s[at + 1]]
         return None if whole else s
 
+    def is_whole(self, t: str) -> bool:
+        """True if t is a piece that its own characters merge to."""
+        known = self.whole.get(t)
+        if known is None:
+            if len(self.whole) > 1_000_000:
+                self.whole.clear()
+            known = self.whole[t] = t in self.score and self.halves(t) is not None
+        return known
+
     def follows(self, a: str, b: str) -> bool:
         """True if the characters of a and b, merged by rank, end as exactly a and b."""
         key = (a, b)
@@ -113,9 +130,34 @@ class Pieces:
         if known is None:
             if len(self.fits) > 2_000_000:
                 self.fits.clear()
-            known = self.fits[key] = self._merge(list(a + b)) == [a, b]
+            known = self.fits[key] = self._apart(a, b)
         return known
 
+    def _apart(self, x: str, y: str) -> bool:
+        """True if nothing merges across x|y, by undoing their merges from the last to the first.
+
+        A state (x, y) lasts until a further merge takes x or y in; a piece across it forms if its score
+        comes before that merge's, the leftmost first among equals.
+        """
+        score, whole = self.score, (x, y)
+        until, equal = float("-inf"), True  # score that ends the state; whether an equal score still gets in
+        while True:
+            cross = score.get(x + y)
+            if cross is not None and (cross > until or equal and cross == until):
+                return False
+            left, right = self.halves(x), self.halves(y)
+            if left is None and right is None:
+                return True
+            if right is None or left is not None and score[x] < score[y]:
+                if any(score.get(part, 0.0) <= score[x] for part in left if len(part) > 1):
+                    break  # parts that merge after their whole: not undone so simply
+                until, equal, x = score[x], False, left[1]
+            else:
+                if any(score.get(part, 0.0) <= score[y] for part in right if len(part) > 1):
+                    break
+                until, equal, y = score[y], True, right[0]
+        return self._merge(list("".join(whole))) == list(whole)
+
 
 class Walk:
     """Forward states along the current word; kept for the prefix that the next word shares."""
@@ -128,13 +170,13 @@ class Walk:
 
     def encode(self, word: str) -> list[str]:
         """Pieces of a word; words in sorted order share the most."""
-        same, limit = 0, min(len(word), len(self.word))
-        while same < limit and word[same] == self.word[same]:
+        same, old = 0, self.word
+        for x, y in zip(word, old):
+            if x != y:
+                break
             same += 1
         del self.last[same + 1 :], self.best[same + 1 :]
-        step = self._bpe if self.p.kind == BPE else self._unigram
-        for end in range(same + 1, len(word) + 1):
-            step(word, end)
+        (self._bpe if self.p.kind == BPE else self._unigram)(word, same + 1)
         self.word = word
         out, at = [], len(word)
         while at:
@@ -142,30 +184,46 @@ class Walk:
             at -= len(self.last[at])
         return out[::-1]
 
-    def _bpe(self, word: str, end: int) -> None:
-        score, last, follows = self.p.score, self.last, self.p.follows
-        for size in range(min(self.p.longest, end), 0, -1):
-            t = word[end - size : end]
-            if (size == 1 or (t in score and self.p.halves(t))) and (size == end or follows(last[end - size], t)):
-                last.append(t)
-                return
-        raise AssertionError("no piece fits")
+    def _bpe(self, word: str, begin: int) -> None:
+        p, last, add = self.p, self.last, self.last.append
+        score, sizes, whole, fits, follows = p.score, p.sizes.get, p.is_whole, p.fits.get, p.follows
+        for end in range(begin, len(word) + 1):
+            # longer pieces that end here, then a pair of characters, else the character by itself
+            for size in (*sizes(word[end - 3 : end], ()), 2) if end > 2 else (2,) if end == 2 else ():
+                if size > end:
+                    continue
+                t = word[end - size : end]
+                if t in score and whole(t):
+                    if size == end:
+                        break
+                    before = last[end - size]
+                    ok = fits((before, t))
+                    if follows(before, t) if ok is None else ok:
+                        break
+            else:
+                t = word[end - 1]
+            add(t)
 
-    def _unigram(self, word: str, end: int) -> None:
+    def _unigram(self, word: str, begin: int) -> None:
         score, best = self.p.score, self.best
-        top, piece = None, ""
-        for size in range(min(self.p.longest, end), 0, -1):
-            t = word[end - size : end]
-            v = score.get(t)
-            if v is None:
-                if size > 1:
-                    continue
-                v = self.p.lowest
-            v += best[end - size]
-            if top is None or v > top:
-                top, piece = v, t
-        best.append(top)
-        self.last.append(piece)
+        for end in range(begin, len(word) + 1):
+            top, piece = None, ""
+            for size in range(min(self.p.longest, end), 0, -1):
+                t = word[end - size : end]
+                v = score.get(t)
+                if v is None:
+                    if size > 1:
+                        continue
+                    v = self.p.lowest
+                v += best[end - size]
+                if top is None or v > top:
+                    top, piece = v, t
+            best.append(top)
+            self.last.append(piece)
+
+
+def unpacked(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, dtype="<i4")
 
 
 class Coder:
@@ -173,19 +231,20 @@ class Coder:
 
     def __init__(self, pieces: Pieces):
         self.p = pieces
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
 
-    def ids_of(self, pieces: list[str]) -> tuple[int, ...]:
-        out: list[int] = []
+    def ids_of(self, pieces: list[str]) -> bytes:
+        """Ids of some pieces, packed as little-endian 32-bit numbers."""
+        out, ids = [], self.p.id.get
         for t in pieces:
-            i = self.p.id.get(t)
+            i = ids(t)
             if i is not None:
                 out.append(i)
             elif self.p.has_bytes:
                 out += [self.p.byte[b] for b in t.encode("utf-8", "surrogatepass")]
             elif not out or out[-1] != self.p.unk:
                 out.append(self.p.unk)
-        return tuple(out)
+        return struct.pack(f"<{len(out)}i", *out)
 
     def learn(self, words) -> None:
         """Encode the words not met yet, in sorted order."""
@@ -197,11 +256,16 @@ class Coder:
         for w in fresh:
             self.known[w] = self.ids_of(walk.encode(w))
 
-    def encode_all(self, texts: list) -> list:
+    def packed(self, texts: list) -> list:
+        """Packed ids of each text, None for None."""
         cut = [self.p.words(t) if t is not None else None for t in texts]
-        self.learn({w for ws in cut if ws for w in ws})
-        known = self.known
-        return [None if ws is None else [i for w in ws for i in known[w]] for ws in cut]
+        self.learn(set().union(*(ws for ws in cut if ws)))
+        known = self.known.__getitem__
+        return [None if ws is None else b"".join(map(known, ws)) for ws in cut]
+
+    def encode_all(self, texts: list) -> list:
+        """Ids of each text as a list."""
+        return [None if x is None else unpacked(x).tolist() for x in self.packed(texts)]
 
     def decode(self, ids) -> str:
         """The text of some ids."""
@@ -245,8 +309,11 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()
             for at, end in _slices(texts):
-                out = coder.encode_all(texts[at:end])
-                yield pa.RecordBatch.from_arrays([ids.slice(at, end - at), pa.array(out, pa.list_(pa.int32()))], ["id", "ids"])
+                out = coder.packed(texts[at:end])
+                ends = np.cumsum([0] + [len(x or b"") // 4 for x in out]).astype(np.int32)
+                flat = pa.array(unpacked(b"".join(x for x in out if x)))
+                lists = pa.ListArray.from_arrays(pa.array(ends), flat, mask=pa.array([x is None for x in out]))
+                yield pa.RecordBatch.from_arrays([ids.slice(at, end - at), lists], ["id", "ids"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "id long, ids array<int>")
 
@@ -273,10 +340,10 @@ def digest(docs: DataFrame, model: bytes | None = None) -> DataFrame:
             ids, texts = b.column(0), b.column(1).to_pylist()
             for at, end in _slices(texts):
                 part = texts[at:end]
-                out = coder.encode_all(part)
-                n = [None if x is None else len(x) for x in out]
-                sha = [None if x is None else hashlib.sha256(np.array(x, dtype="<i4").tobytes()).hexdigest() for x in out]
-                same = [None if x is None else coder.decode(x) == t for x, t in zip(out, part)]
+                out = coder.packed(part)
+                n = [None if x is None else len(x) // 4 for x in out]
+                sha = [None if x is None else hashlib.sha256(x).hexdigest() for x in out]
+                same = [None if x is None else coder.decode(unpacked(x).tolist()) == t for x, t in zip(out, part)]
                 yield pa.RecordBatch.from_arrays([ids.slice(at, end - at), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids_sha256", "decoded_same"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_same boolean")
