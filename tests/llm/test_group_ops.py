@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from bundleloom.llm import ann, embed_dedup, queries, simhash, substring
 from bundleloom.llm.common import connected_components
+from tests.compare import connect, same
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 VEC = "vec_id long, embedding array<float>, label int"
@@ -289,6 +290,11 @@ def test_on_the_given_tables(spark, sf_dir):
     assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in got) == plain_simhash(rows, 4)
 
 
+@pytest.mark.parametrize("name", ["op6_embedding_dedup", "op9_substring_dedup"])
+def test_same_as_sql(spark, sf_dir, name):
+    assert same(queries.QUERIES[name](spark, sf_dir), connect(sf_dir), queries.SQL[name]) > 0
+
+
 # ---------------------------------------------------------------- pipeline
 
 
