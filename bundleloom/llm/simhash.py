@@ -275,7 +275,8 @@ def keep_one(docs: DataFrame, width: int = 5, radius: int = RADIUS) -> DataFrame
     named = docs.filter(F.col("doc_id").isNotNull())
     kept = components(named, width, radius).filter("id = component").groupBy(F.col("id").alias("_kept_id")).agg(F.count("*").alias("_rows"))
     kept = stage(kept, "simhash-kept")
-    hit = docs.join(kept, docs.doc_id == F.col("_kept_id"), "left_semi")
+    # the ids grow with the documents: one plan at every size, never a broadcast
+    hit = docs.join(kept.hint("merge"), docs.doc_id == F.col("_kept_id"), "left_semi")
     rest = docs.filter(F.col("doc_id").isNull())
     again = kept.filter("_rows > 1")
     if again.isEmpty():
