@@ -141,7 +141,7 @@ def near_duplicates(table: DataFrame, least: float = LEAST) -> DataFrame:
     every = table.select(F.col("vec_id").cast("long").alias("id"), F.col("label"), F.col("embedding"))
     rows = own(table, "label").filter("id is not null and label is not null")
     reps = stage(rows.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("many")), "vectors")
-    schema = "label {}, v array<double>, rep long, many long, part int, cell long, side int".format(dict(reps.dtypes)["label"])
+    schema = "label {label}, v {v}, rep long, many long, part int, cell long, side int".format(**dict(reps.dtypes))
     sizes = [r[0] for r in reps.select(F.size("v")).distinct().limit(65).collect()]
     if len(sizes) > 64:
         raise ValueError("vectors of more than 64 different lengths")

@@ -15,16 +15,21 @@ def usable(v: Column) -> Column:
 
 
 def own(table: DataFrame, *keys: str) -> DataFrame:
-    """id, further keys and the vector as doubles, for the rows whose vector can be compared."""
-    v = F.col("embedding").cast("array<double>")
+    """id, further keys and the vector, for the rows whose vector can be compared.
+
+    Vectors of floats travel as such, half the size; arithmetic is in doubles (see :func:`matrix`).
+    """
+    v = F.col("embedding")
+    if dict(table.dtypes)["embedding"] not in ("array<float>", "array<double>"):
+        v = v.cast("array<double>")
     return table.select(F.col("vec_id").cast("long").alias("id"), *[F.col(k) for k in keys], v.alias("v")).filter(usable(F.col("v")))
 
 
 def matrix(column) -> np.ndarray:
-    """Rows of an Arrow list column of one length as a matrix."""
+    """Rows of an Arrow list column of one length as a matrix of doubles."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
