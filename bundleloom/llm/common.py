@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,13 +57,25 @@ def unstage(*frames: DataFrame) -> None:
         drop_path(df.sparkSession, df._staged_at)
 
 
-def per_batch(fn: Callable[[list, list], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def text_slices(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Parts of a batch of some MB of text (its second column), so that few texts are Python strings at once."""
+    size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).cumsum()
+    at = 0
+    while at < batch.num_rows:
+        done = int(size[at - 1]) if at else 0
+        end = max(at + 1, int(size.searchsorted(done + most, side="right")))
+        part = batch.slice(at, end - at)
+        yield part, part.column(1).to_pylist()
+        at = end
+
+
+def per_batch(fn: Callable[[pa.Array, list], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A mapInArrow body for two-column input (id, text): ``fn(ids, texts)`` gives the batch to return."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield fn(batch.column(0), batch.column(1).to_pylist())
+            for part, texts in text_slices(batch):
+                yield fn(part.column(0), texts)
 
     return run
 

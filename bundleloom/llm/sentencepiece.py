@@ -28,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bundleloom.llm.common import text_slices
+
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 #: Words whose ids a task keeps for reuse.
-CACHE = 1_000_000
+CACHE = 600_000
 
 
 class Pieces:
@@ -290,30 +292,18 @@ def load(path: str = MODEL_PATH) -> bytes:
         return f.read()
 
 
-def _slices(texts: list, most: int = 3_000_000):
-    at = 0
-    while at < len(texts):
-        size, end = 0, at
-        while end < len(texts) and (size < most or end == at):
-            size += len(texts[end] or "")
-            end += 1
-        yield at, end
-        at = end
-
-
 def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, ids)``: the piece ids of every whole text."""
 
     def run(batches):
         coder = Coder(Pieces(model))
         for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
-            for at, end in _slices(texts):
-                out = coder.packed(texts[at:end])
+            for part, texts in text_slices(b):
+                out = coder.packed(texts)
                 ends = np.cumsum([0] + [len(x or b"") // 4 for x in out]).astype(np.int32)
                 flat = pa.array(unpacked(b"".join(x for x in out if x)))
                 lists = pa.ListArray.from_arrays(pa.array(ends), flat, mask=pa.array([x is None for x in out]))
-                yield pa.RecordBatch.from_arrays([ids.slice(at, end - at), lists], ["id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["id", "ids"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "id long, ids array<int>")
 
@@ -337,13 +327,11 @@ def digest(docs: DataFrame, model: bytes | None = None) -> DataFrame:
     def run(batches):
         coder = Coder(Pieces(blob))
         for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
-            for at, end in _slices(texts):
-                part = texts[at:end]
-                out = coder.packed(part)
+            for part, texts in text_slices(b):
+                out = coder.packed(texts)
                 n = [None if x is None else len(x) // 4 for x in out]
                 sha = [None if x is None else hashlib.sha256(x).hexdigest() for x in out]
-                same = [None if x is None else coder.decode(unpacked(x).tolist()) == t for x, t in zip(out, part)]
-                yield pa.RecordBatch.from_arrays([ids.slice(at, end - at), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids_sha256", "decoded_same"])
+                same = [None if x is None else coder.decode(unpacked(x).tolist()) == t for x, t in zip(out, texts)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids_sha256", "decoded_same"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_same boolean")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bundleloom.llm.common import connected_components, stage
+from bundleloom.llm.common import connected_components, stage, text_slices
 
 SEED = 42
 RADIUS = 4
@@ -77,16 +77,8 @@ def fingerprint(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: s
 
     def run(batches):
         for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
-            at = 0
-            while at < len(texts):  # a few MB of text at a time
-                size, end = 0, at
-                while end < len(texts) and (size < 4_000_000 or end == at):
-                    size += len(texts[end] or "")
-                    end += 1
-                fp = fingerprints(texts[at:end], width).view(np.int64)
-                yield pa.RecordBatch.from_arrays([ids.slice(at, end - at), pa.array(fp)], ["id", "fp"])
-                at = end
+            for part, texts in text_slices(b):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints(texts, width).view(np.int64))], ["id", "fp"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "id long, fp long")
 

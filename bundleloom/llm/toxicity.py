@@ -115,6 +115,18 @@ def fit(positive: list, unlabelled: list, prior: float, features: int = 2000, st
     return Model({int(b): float(v) for b, v in zip(best, w) if abs(v) > 1e-6}, bias)
 
 
+def _lowest(ids: DataFrame, rows: int, most: int, seed: int) -> DataFrame:
+    """The ``most`` rows with the smallest seeded hash of ``id``.
+
+    A bound on the hash, from the number of rows, leaves some four times as many before they are sorted, so
+    that what meets in one task depends on ``most`` and not on the number of partitions.
+    """
+    mark = seeded(seed, F.col("id"))
+    share = min(1.0, (4 * most + 100) / max(1, rows))
+    near = ids if share == 1.0 else ids.filter(mark < int(-(2**63) + share * 2**64))
+    return near.orderBy(mark, "id").limit(most)
+
+
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unlabelled: int = 9000, seed: int = 11) -> Model:
     """Fit on bounded samples of the training fold: confirmed toxic texts, and texts without that label."""
     marked = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic"))
@@ -123,12 +135,11 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unla
     if not counts[0] or not counts[1]:
         return Model({}, None)
     prior = min(0.5, max(0.001, counts[1] / counts[0]))
-    order = [seeded(seed, F.col("id")), F.col("id")]
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    chosen_p = marked.filter("toxic = 1").orderBy(*order).limit(max_positive).select("id", F.lit(1).alias("p"))
+    chosen_p = _lowest(marked.filter("toxic = 1"), counts[1], max_positive, seed).select("id", F.lit(1).alias("p"))
     ids = texts.select("id").filter(F.col("id").isNotNull() & ~held_out(F.col("id")))
-    chosen_u = ids.orderBy(*order).limit(max_unlabelled + max_positive)
-    chosen_u = chosen_u.join(chosen_p, "id", "left_anti").orderBy(*order).limit(max_unlabelled).select("id", F.lit(0).alias("p"))
+    chosen_u = _lowest(ids, docs.count() * 2 // 3, max_unlabelled + max_positive, seed)
+    chosen_u = _lowest(chosen_u.join(chosen_p, "id", "left_anti"), 0, max_unlabelled, seed).select("id", F.lit(0).alias("p"))
     chosen = F.broadcast(chosen_p.unionByName(chosen_u).distinct())  # at most max_positive + max_unlabelled ids
 
     def batch(ps, texts):
