@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bundleloom.llm.common import stage
+from bundleloom.llm.common import stage, text_slices
 
 WINDOW = 20
 #: Rounds of recompression for the symbols of windows; and for long pieces, of so many symbols each.
@@ -241,13 +241,14 @@ def long_pieces(x: Symbols, w: Words, width: int, window: int) -> tuple[np.ndarr
 def _groups(batches):
     """Rows of a task, some ``GROUP_WORDS`` words at a time; the text is a row's second column."""
     rows, size = [], 0
-    for b in batches:
-        for row in zip(*(b.column(i).to_pylist() for i in range(b.num_columns))):
-            rows.append(row)
-            size += len(row[1] or "") // 5 + 1
-            if size >= GROUP_WORDS:
-                yield rows
-                rows, size = [], 0
+    for batch in batches:
+        for b, texts in text_slices(batch):
+            for row in zip(b.column(0).to_pylist(), texts, *(b.column(i).to_pylist() for i in range(2, b.num_columns))):
+                rows.append(row)
+                size += len(row[1] or "") // 5 + 1
+                if size >= GROUP_WORDS:
+                    yield rows
+                    rows, size = [], 0
     if rows:
         yield rows
 
@@ -538,8 +539,8 @@ def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
 
     def run(batches):
-        for b in batches:
-            rows = [_kept(t, s, p, WINDOW) for t, s, p in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)))]
+        for b, texts in (part for batch in batches for part in text_slices(batch)):
+            rows = [_kept(t, s, p, WINDOW) for t, s, p in zip(texts, b.column(2).to_pylist(), b.column(3).to_pylist())]
             n, gone, sha = [r[0] for r in rows], [r[1] for r in rows], [hashlib.sha256(r[2]).hexdigest() for r in rows]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
@@ -550,8 +551,8 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``(doc_id, text)`` with the kept words of each text joined by one space; untouched texts as they were."""
 
     def run(batches):
-        for b in batches:
-            texts = [_kept(t, s, p, window)[2].decode("utf-8", "surrogatepass") if s or p else t for t, s, p in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)))]
+        for b, texts in (part for batch in batches for part in text_slices(batch)):
+            texts = [_kept(t, s, p, window)[2].decode("utf-8", "surrogatepass") if s or p else t for t, s, p in zip(texts, b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return removal(docs, window).mapInArrow(run, "doc_id long, text string")
