@@ -12,9 +12,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Java form of "a word": anything but space, tab, LF, VT, FF, CR.
-WORD_REGEX = "[^\\x20\\x09-\\x0D]+"
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a private one is set only where that is unset (tests)."""
