@@ -115,9 +115,8 @@ def _with_equals(argv: list[str]) -> list[str]:
     truth = {f for f, k in FLAGS.items() if k is bool} | set(SKIPS)
     out = []
     for a in argv:
-        name, eq, value = a.lstrip("-").partition("=")
+        name, eq, _ = a.lstrip("-").partition("=")
         out.append(f"{a}=true" if a.startswith("-") and name in truth and not eq else a)
-        del value
     return out
 
 
