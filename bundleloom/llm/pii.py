@@ -49,7 +49,9 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,27}+(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
+#: What follows an IBAN's first four characters, exactly as long as its country has it.
+IBAN_REST = {c: re.compile(rf"(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for c, n in IBAN_LENGTH.items()}
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 ABA = re.compile(r"(?<![0-9-])[0-9]{9}(?![0-9-])")
 DIGIT = re.compile(r"[0-9]")
@@ -117,16 +119,24 @@ def find_base(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def ibans(text: str, at: int = 0) -> list[tuple[int, int]]:
+    """Leftmost non-overlapping IBANs of their country's length that pass the check, whatever follows them."""
+    out, done = [], at
+    for m in IBAN.finditer(text, at):
+        rest = IBAN_REST.get(m[0][:2])
+        if m.start() >= done and rest and (r := rest.match(text, m.end())) and mod97(m[0] + r[0].replace(" ", "")):
+            out.append((m.start(), r.end()))
+            done = r.end()
+    return out
+
+
 def find_further(text: str) -> list[tuple[str, int, int]]:
     """Confirmed proposals of the further kinds; their score decides later."""
     first = DIGIT.search(text)
     if first is None:
         return []
-    at, out = max(0, first.start() - 2), []
-    for m in IBAN.finditer(text, at):
-        code = m[0].replace(" ", "")
-        if IBAN_LENGTH.get(code[:2]) == len(code) and mod97(code):
-            out.append(("iban", m.start(), m.end()))
+    at = max(0, first.start() - 2)
+    out = [("iban", s, e) for s, e in ibans(text, at)]
     for m in SSN.finditer(text, at):
         area, group, serial = m[0].split("-")
         if area not in ("000", "666") and area < "900" and group != "00" and serial != "0000":

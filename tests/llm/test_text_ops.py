@@ -59,6 +59,15 @@ def test_further_kinds_need_checksum_and_context():
     assert up > down
 
 
+def test_iban_ends_where_its_country_says():
+    for code in ("DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82WEST12345698765432", "NO93 8601 1117 947"):
+        for after in ("", " Bank", " BIC COBADEFF", " 2024", " Please pay", " A", "."):
+            assert pii.redacted(f"IBAN {code}{after}") == f"IBAN [IBAN]{after}", (code, after)
+        assert not any(k == "iban" for k, *_ in pii.scan(f"IBAN {code}7 x")) and not any(k == "iban" for k, *_ in pii.scan(f"IBAN {code}x"))
+    assert pii.ibans("XX12 DE12 DE89370400440532013000 GB82WEST12345698765432 A1") == [(10, 32), (33, 55)]
+    assert pii.ibans("DE89  370400440532013000") == [] and pii.ibans("AA11 " * 50_000 + "DE89 " * 50_000) == []
+
+
 def test_digest_and_redaction(spark):
     texts = ["mail é a@b.co or +1 212 555 0100", None, "", "x" * 300_000, "1" * 200_000, "@" * 100_000, "a.b-" * 60_000]
     df = docs(spark, [*texts, texts[0]]).withColumn("spans", F.lit(1))
