@@ -264,8 +264,12 @@ def keep_one(docs: DataFrame, width: int = 5, radius: int = RADIUS) -> DataFrame
 
     Rows that repeat the kept id are reduced to the first by content.
     """
-    named = docs.filter(F.col("doc_id").isNotNull())
-    kept = components(named, width, radius).filter("id = component").groupBy(F.col("id").alias("_kept_id")).agg(F.count("*").alias("_rows"))
+    return keep_lowest(docs, components(docs.filter(F.col("doc_id").isNotNull()), width, radius))
+
+
+def keep_lowest(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id names its component in ``(id, component)``, and those without an id."""
+    kept = named.filter("id = component").groupBy(F.col("id").alias("_kept_id")).agg(F.count("*").alias("_rows"))
     kept = stage(kept, "simhash-kept")
     # the ids grow with the documents: one plan at every size, never a broadcast
     hit = docs.join(kept.hint("merge"), docs.doc_id == F.col("_kept_id"), "left_semi")

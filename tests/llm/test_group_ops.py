@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from bundleloom.llm import ann, embed_dedup, queries, simhash, substring
+from bundleloom.llm import ann, embed_dedup, jaccard, queries, simhash, substring
 from bundleloom.llm.common import connected_components
 from tests.compare import connect, same
 
@@ -120,6 +120,46 @@ def test_keep_one(spark):
     assert sorted((r.doc_id or 0) for r in got) == [0, 0, 1, 9] and got[0].asDict().keys() == docs(spark, rows).first().asDict().keys()
 
 
+def plain_sets(rows, width=5):
+    out = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        out.append({b" ".join(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set())
+    return out
+
+
+def plain_kept(rows):
+    sets = plain_sets(rows)
+    edges = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    root, low = components(len(rows), edges), {}
+    for k, (i, _) in enumerate(rows):
+        low[root[k]] = min(low.get(root[k], i), i)
+    return set(low.values())
+
+
+@pytest.mark.parametrize("chunk", [8, 1024])
+def test_pipeline_near_dedup_is_jaccard(spark, monkeypatch, chunk):
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    monkeypatch.setattr(jaccard, "BUCKET", 5_000)
+    monkeypatch.setattr(jaccard, "SAMPLE", 20)
+    rng = random.Random(12)
+    vocab = [f"v{i}" for i in range(400)]
+    common = " ".join(rng.choice(vocab) for _ in range(60))
+    base = [" ".join(rng.choice(vocab) for _ in range(rng.randrange(1, 200))) + (" " + common if k % 3 == 0 else "") for k in range(50)]
+    rows = list(enumerate(base))
+    for k in range(150):
+        w = (base[0] if k % 3 == 0 else rng.choice(base)).split()
+        for _ in range(rng.randrange(1, 6)):
+            w[rng.randrange(len(w))] = f"edit{rng.randrange(50)}"
+        rows.append((1000 + k, " ".join(w).upper() if k % 2 else "\n".join(w)))
+    rows += [(5000, None), (5001, ""), (5002, "one"), (5003, "One "), (7000, base[3]), (7000, base[4])]
+    rng.shuffle(rows)
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    kept = [r.doc_id for r in stage(spark, docs(spark, [*rows, (None, base[0])]).repartition(5), "").collect()]
+    assert len(kept) == len(set(kept)) and set(kept) - {None} == plain_kept(rows)
+    assert None in kept and stage(spark, docs(spark, rows).limit(0), "").count() == 0
+
+
 # ---------------------------------------------------------------- vectors
 
 ODD = [None, [], [0.0, 0.0, 0.0, 0.0], [1.0, None, 0.0, 0.0], [float("nan"), 1.0, 0.0, 0.0], [float("inf"), 1.0, 0.0, 0.0]]
