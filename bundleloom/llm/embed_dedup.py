@@ -24,6 +24,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,10 +65,14 @@ def _budget(least: float, n: int) -> float:
 def _placed(least: float):
     """For each row: where it is compared.  side 0 at home, 1 as a visitor to an earlier neighbour cell."""
 
-    def run(batches):
+    def of_one_length(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
+            size = pc.list_value_length(b.column("v"))
+            for n in pc.unique(size):
+                yield b.filter(pc.equal(size, n))
+
+    def run(batches):
+        for b in of_one_length(batches):
             v = unit(matrix(b.column("v")))
             n, rows = v.shape[1], np.arange(len(v))
             r = v @ rotation(n)
@@ -84,7 +89,8 @@ def _placed(least: float):
                         x.append(y)
             at, *more = (np.concatenate(x) for x in out)
             take = b.take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([*take.columns, *map(pa.array, more)], [*take.schema.names, "part", "cell", "side"])
+            dims = pa.array(np.full(len(at), n, np.int32))
+            yield pa.RecordBatch.from_arrays([*take.columns, *map(pa.array, more), dims], [*take.schema.names, "part", "cell", "side", "dims"])
 
     return run
 
@@ -141,24 +147,16 @@ def near_duplicates(table: DataFrame, least: float = LEAST) -> DataFrame:
     every = table.select(F.col("vec_id").cast("long").alias("id"), F.col("label"), F.col("embedding"))
     rows = own(table, "label").filter("id is not null and label is not null")
     reps = stage(rows.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("many")), "vectors")
-    schema = "label {label}, v {v}, rep long, many long, part int, cell long, side int".format(**dict(reps.dtypes))
-    sizes = [r[0] for r in reps.select(F.size("v")).distinct().limit(65).collect()]
-    if len(sizes) > 64:
-        raise ValueError("vectors of more than 64 different lengths")
-    found = None
-    for n in sizes:
-        placed = reps.filter(F.size("v") == n).select("label", "v", "rep", "many").mapInArrow(_placed(least), schema)
-        key = ["label", "part", "cell"]
-        big = placed.groupBy(*key).agg(F.count("*").alias("n"), F.expr("count_if(side = 0)").alias("homes")).filter("n > 1 and homes > 0")
-        placed = placed.join(big, key)
-        chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-        mine = F.pmod(F.xxhash64("rep", F.lit(9)), chunks).cast("int")
-        pairs = F.transform(F.sequence(F.lit(0), chunks - 1), lambda o: F.struct(F.least(o, mine).alias("lo"), F.greatest(o, mine).alias("hi"), F.when(o == mine, 0).when(o > mine, 1).otherwise(2).alias("half")))
-        placed = placed.withColumn("c", F.explode(pairs)).select("*", "c.lo", "c.hi", "c.half")
-        one = placed.groupBy(*key, "lo", "hi").applyInArrow(_compare(least), "a long, b long, links long")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        found = reps.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.col("many").alias("links")).limit(0)
+    schema = "label {label}, v {v}, rep long, many long, part int, cell long, side int, dims int".format(**dict(reps.dtypes))
+    placed = reps.select("label", "v", "rep", "many").mapInArrow(_placed(least), schema)
+    key = ["label", "dims", "part", "cell"]
+    big = placed.groupBy(*key).agg(F.count("*").alias("n"), F.expr("count_if(side = 0)").alias("homes")).filter("n > 1 and homes > 0")
+    placed = placed.join(big, key)
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    mine = F.pmod(F.xxhash64("rep", F.lit(9)), chunks).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), chunks - 1), lambda o: F.struct(F.least(o, mine).alias("lo"), F.greatest(o, mine).alias("hi"), F.when(o == mine, 0).when(o > mine, 1).otherwise(2).alias("half")))
+    placed = placed.withColumn("c", F.explode(pairs)).select("*", "c.lo", "c.hi", "c.half")
+    found = placed.groupBy(*key, "lo", "hi").applyInArrow(_compare(least), "a long, b long, links long")
     found = stage(found, "vector-links")
     roots = connected_components(found.filter("a <> b")).select(F.col("node").alias("rep"), "root")
     links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))

@@ -203,6 +203,12 @@ def test_embedding_dedup(spark, monkeypatch, chunk):
     assert embed_dedup.digest(df.limit(0)).count() == 0
 
 
+def test_embedding_dedup_of_many_lengths(spark):
+    rows = [(2 * n + k, [1.0] * (n - 1) + [2.0 if k else 2.001], 0) for n in range(2, 72) for k in (0, 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.digest(spark.createDataFrame(rows, VEC)).collect()}
+    assert got == {i: (1, i - i % 2) for i, _, _ in rows}
+
+
 def test_budgets_add_up():
     for n in (1, 2, 7, 8, 64, 100):
         p = embed_dedup.parts(n)
