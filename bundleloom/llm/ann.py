@@ -10,11 +10,14 @@ of a shard are stored once with their smallest ids, so a vector that a third of
 
 Defined cases: unusable vectors (null, empty, zero, null or non-finite components) and null ids take no
 part; vectors of different lengths are never compared; repeated rows of one id count as one candidate
-each, except that a query never finds its own id; fewer than k candidates give fewer rows.
+each, except that a query never finds its own id; a repeated query row is searched once, and different vectors of
+one query id are ranked each for itself; fewer than k candidates give fewer rows.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -90,18 +93,18 @@ class Tree:
         self._visit(child, qs[bound * self.factor <= self.best[qs, -1] + 1e-7])
 
 
-FOUND = "query_id long, vec_id long, score double"
+FOUND = "query_id long, ask long, vec_id long, score double"
 
 
 def _search(k: int, factor: float):
     def run(shard: pa.Table, block: pa.Table) -> pa.Table:
-        out = {"query_id": [], "vec_id": [], "score": []}
+        out = {"query_id": [], "ask": [], "vec_id": [], "score": []}
         if shard.num_rows and block.num_rows:
-            ids, qids = shard["id"].to_numpy(), block["id"].to_numpy()
+            ids, qids, asks = shard["id"].to_numpy(), block["id"].to_numpy(), block["ask"].to_numpy()
             rank = np.argsort(ids, kind="stable")
             raw, ids = matrix(shard["v"])[rank], ids[rank]
             qraw = matrix(block["v"])
-            # equal vectors once, with their first k + 1 ids (one may be the query itself)
+            # equal vectors once, with their first k ids that are not the query's own
             keys = np.ascontiguousarray(raw + 0.0).view(np.dtype((np.void, raw.shape[1] * 8))).ravel()
             _, first, of = np.unique(keys, return_index=True, return_inverse=True)
             by = np.argsort(of, kind="stable")
@@ -109,16 +112,17 @@ def _search(k: int, factor: float):
             wide = k + 3
             _, who = Tree(unit(raw[first])).search(unit(qraw), wide, factor)
             for q in range(len(qids)):
-                c = [i for w in who[q] if w >= 0 for i in by[cut[w] : min(cut[w + 1], cut[w] + k + 1)] if ids[i] != qids[q]]
+                c = [i for w in who[q] if w >= 0 for i in itertools.islice((i for i in by[cut[w] : cut[w + 1]] if ids[i] != qids[q]), k)]
                 if not c:
                     continue
                 c = np.array(c)
                 s = cosine(np.broadcast_to(qraw[q], (len(c), raw.shape[1])), raw[c])
                 top = np.lexsort((ids[c], -s))[:k]
                 out["query_id"] += [qids[q]] * len(top)
+                out["ask"] += [asks[q]] * len(top)
                 out["vec_id"] += ids[c[top]].tolist()
                 out["score"] += s[top].tolist()
-        kinds = (pa.int64(), pa.int64(), pa.float64())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
         return pa.table({n: pa.array(c, t) for (n, c), t in zip(out.items(), kinds)})
 
     return run
@@ -132,10 +136,11 @@ def nearest(table: DataFrame, is_query: Column, k: int = K, factor: float = FACT
     of = lambda m, seed: F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     left = rows.withColumn("s", of(shards, 1)).withColumn("b", every(blocks)).select("n", "s", "b", "id", "v")
-    right = rows.filter("_asks").withColumn("b", of(blocks, 2)).withColumn("s", every(shards)).select("n", "s", "b", "id", "v")
+    asking = rows.filter("_asks").select("n", "id", "v").dropDuplicates(["id", "v"]).withColumn("ask", F.xxhash64("v"))
+    right = asking.withColumn("b", of(blocks, 2)).withColumn("s", every(shards)).select("n", "s", "b", "id", "ask", "v")
     keys = ["n", "s", "b"]
     part = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_search(k, factor), FOUND)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id", "ask").orderBy(F.desc("score"), "vec_id")
     best = part.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")
 

@@ -217,6 +217,13 @@ def test_budgets_add_up():
         assert np.allclose(r @ r.T, np.eye(n))
 
 
+@pytest.mark.parametrize("copies", [2, 6])
+def test_nearest_of_repeated_queries(spark, copies):
+    rows = [(i, [1.0, 2.0], 0) for i in [0] * copies + [1, 2, 3, 4, 5]] + [(i, [2.0, float(i)], 0) for i in range(10, 30)]
+    got = ann.nearest(spark.createDataFrame(rows, VEC), F.col("vec_id") == 0, factor=1.0).collect()
+    assert sorted((r["rank"], r.vec_id) for r in got) == [(i, i) for i in range(1, 6)] and all(r.score > 1 - 1e-9 for r in got)
+
+
 @pytest.mark.parametrize("factor,least", [(1.0, 1.0), (ann.FACTOR, 0.9)])
 def test_nearest(spark, factor, least):
     rows, df = vectors(spark, 900, 16, 9)
