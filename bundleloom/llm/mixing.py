@@ -51,7 +51,9 @@ def fill(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their lengths sum as near ``budget`` as they can.
 
     lengths ascending and positive.  A proportional share is taken first, and dynamic programming settles
-    the last few longest lengths' worth.
+    the last few longest lengths' worth: 16 of them, but 4 once the longest is 60,000 words or more, which
+    bounds its time and memory.  A sum that only other documents would reach can be missed then; what is
+    left over or short is never more than half the longest length.
     """
     whole = int((lengths * counts).sum())
     if budget <= 0 or not len(lengths):

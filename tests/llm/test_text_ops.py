@@ -153,6 +153,17 @@ def test_fill_is_exact_where_sums_allow():
         assert abs(budget - int((take * lengths).sum())) == min(abs(s - budget) for s in sums)
 
 
+@pytest.mark.parametrize("longest", [59_999, 60_000, 200_000])
+def test_fill_stays_within_half_the_longest(longest):
+    rng = np.random.default_rng(longest)
+    for _ in range(5):
+        lengths = np.unique(np.append(rng.integers(longest // 2, longest, 4), longest))
+        counts = rng.integers(1, 30, len(lengths))
+        budget = int(rng.integers(0, (lengths * counts).sum() + 1))
+        take = mixing.fill(lengths, counts, budget)
+        assert (take >= 0).all() and (take <= counts).all() and abs(budget - int((take * lengths).sum())) <= longest / 2
+
+
 def test_mix_splits_a_hot_length(spark, monkeypatch):
     monkeypatch.setattr(mixing, "SPLIT", 40)
     df = docs(spark, ["a b c"] * 500 + ["x y"] * 3, ["hot"] * 500 + ["b"] * 3)
