@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,18 +56,27 @@ def unstage(*frames: DataFrame) -> None:
         drop_path(df.sparkSession, df._staged_at)
 
 
-def text_slices(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Parts of a batch of some MB of text (its second column), so that few texts are Python strings at once."""
-    size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).cumsum()
+def text_slices(batch: pa.RecordBatch, most: int = 4_000_000, column: int = 1) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Parts of a batch of some MB of text (by default its second column), so that few texts are Python strings at once."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).cumsum()
     at = 0
     while at < batch.num_rows:
         done = int(size[at - 1]) if at else 0
         end = max(at + 1, int(size.searchsorted(done + most, side="right")))
         part = batch.slice(at, end - at)
-        yield part, part.column(1).to_pylist()
+        yield part, part.column(column).to_pylist()
         at = end
 
 
+def give_back() -> None:
+    """Return what a task has freed to the system: Python workers live on and would keep it from other processes."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def per_batch(fn: Callable[[pa.Array, list], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A mapInArrow body for two-column input (id, text): ``fn(ids, texts)`` gives the batch to return."""
 
@@ -73,10 +84,44 @@ def per_batch(fn: Callable[[pa.Array, list], pa.RecordBatch]) -> Callable[[Itera
         for batch in batches:
             for part, texts in text_slices(batch):
                 yield fn(part.column(0), texts)
+        give_back()
 
     return run
 
 
+def by_place(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns named c0, c1, ... so that no helper column can clash with one of them."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
+def place(docs: DataFrame, name: str) -> str:
+    """The name that :func:`by_place` gives a column."""
+    return f"c{docs.columns.index(name)}"
+
+
+def map_rows(docs: DataFrame, text_col: str, fn: Callable[[pa.RecordBatch, list], pa.RecordBatch], more: str = "") -> DataFrame:
+    """Whole rows of ``docs``, columns by place, through ``fn(part, texts)``, some MB of text at a time.
+
+    ``fn`` gives rows of the same columns, and of those that ``more`` declares.
+    """
+    plain = by_place(docs)
+    at = docs.columns.index(text_col)
+    schema = StructType([*plain.schema.fields, *(StructType.fromDDL(more).fields if more else [])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in text_slices(batch, column=at):
+                yield fn(part, texts)
+        give_back()
+
+    return plain.mapInArrow(run, schema)
+
+
+def few(staged: DataFrame, most: int = 100_000) -> DataFrame:
+    """A staged table of narrow rows as a join side: broadcast if it has been counted to be small, else merged."""
+    return F.broadcast(staged) if staged.count() <= most else staged.hint("merge")
+
+
 def seeded(seed: int, *cols: Column) -> Column:
     """A reproducible 64-bit number for a row, from its values alone."""
     return F.xxhash64(F.lit(seed), *cols)

@@ -4,11 +4,11 @@ A text is marked (spaces become U+2581, one more in front) and cut into words th
 distinct words of a batch are sorted, which lays them out as a depth-first walk of their trie: each word
 keeps the forward states of the prefix it shares with the one before it and only extends them.
 
-The model file decides what a forward state is.  For a unigram model it is the best score of a prefix and
-the last piece of that best path (Viterbi).  For a BPE model it is the last piece of the prefix's one valid
-segmentation: a piece may follow another only if merging the two by rank gives back exactly these two, and
-exactly one piece fits at each place, so the walk gives the merge order's own result and not merely the
-best-scored split.  Characters outside the vocabulary become byte pieces.
+A forward state is the best score of a prefix and the last piece of that best path (Viterbi).  The model file
+decides which paths there are.  In a unigram model any piece may follow any other.  In a BPE model a piece may
+follow another only if merging the two by rank gives back exactly these two; then exactly one piece can end at
+each place, so the best path is the merge order's own result.  Characters outside the vocabulary become byte
+pieces.  What a task remembers (ids of words, pairs of pieces) is bounded in bytes and begun anew when full.
 
 The model is read by the driver from a path that is a parameter (by default the installed public
 tokenizers' folder) and sent to the tasks: its size is the vocabulary's.  Nothing is trained.
@@ -19,6 +19,7 @@ rows give repeated results; decoding gives back the text itself (no normalisatio
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import struct
@@ -28,13 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bundleloom.llm.common import text_slices
+from bundleloom.llm.common import give_back, text_slices
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
-#: Words whose ids a task keeps for reuse.
-CACHE = 600_000
+#: Lengths of pieces to look at where no longer piece ends.
+PAIR = (2,)
+#: Bytes, about, of words and their ids that a task keeps for reuse; and pairs of pieces (some 100 bytes each).
+WORD_BYTES = 60_000_000
+PAIRS = 300_000
+#: Bytes of text that are cut into words at a time.
+SLICE = 4_000_000
 
 
 class Pieces:
@@ -57,13 +63,14 @@ class Pieces:
         self.unk = 0
         self.text: list[str] = []
         for i, p in enumerate(proto.pieces):
-            self.text.append(p.piece)
+            text = p.piece.replace(MARK, " ")  # a mark and a space are the same here
+            self.text.append(text)
             if p.type == 6:
                 self.byte[int(p.piece[3:5], 16)] = i
             elif p.type == 2:
                 self.unk = i
             elif p.type in (1, 4):
-                self.id[p.piece], self.score[p.piece] = i, p.score
+                self.id[text], self.score[text] = i, p.score
         self.has_bytes = any(self.byte)
         self._ready()
 
@@ -76,22 +83,27 @@ class Pieces:
         for piece in self.id:
             if len(piece) > 2:
                 ends.setdefault(piece[-3:], set()).add(len(piece))
-        self.sizes = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
+        self.sizes = {k: (*sorted(v, reverse=True), 2) for k, v in ends.items()}
         self.whole: dict[str, bool] = {}
         self.parts: dict[str, tuple[str, str] | None] = {}
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.fits: dict[int, bool] = {}
         # characters that stand in no longer piece are words of their own; a mark starts a word
         joined = {c for p in self.id if len(p) > 1 for c in p}
         alone = {c for c in "\n\r\t\f\v" if c not in joined}
         odd = f"[{re.escape(''.join(alone))}]|" if alone else ""
-        inside = re.escape("".join(alone) + MARK)
-        if any(MARK in p.lstrip(MARK) for p in self.id):
+        inside = re.escape("".join(alone) + " ")
+        if any(" " in p.lstrip(" ") for p in self.id):
             raise ValueError("a piece goes on after a mark inside it")
-        self.cut = re.compile(f"{odd}{MARK}*[^{inside}]+|{MARK}+")
+        self.cut = re.compile(f"{odd} *[^{inside}]+| +")
 
     def words(self, text: str) -> list[str]:
         """The marked words of a text."""
-        return self.cut.findall(MARK + text.replace(" ", MARK)) if text else []
+        return self.cut.findall(" " + text.replace(MARK, " ")) if text else []
+
+    def single(self, c: str) -> int:
+        """A number for a character, in the vocabulary or not."""
+        i = self.id.get(c)
+        return i if i is not None else len(self.text) + ord(c)
 
     # ---- BPE: what the merge order makes of two neighbouring pieces
 
@@ -120,19 +132,16 @@ class Pieces:
         """True if t is a piece that its own characters merge to."""
         known = self.whole.get(t)
         if known is None:
-            if len(self.whole) > 1_000_000:
-                self.whole.clear()
-            known = self.whole[t] = t in self.score and self.halves(t) is not None
+            known = t in self.score and self.halves(t) is not None
+            if t in self.score:  # so never more entries than pieces
+                self.whole[t] = known
         return known
 
-    def follows(self, a: str, b: str) -> bool:
-        """True if the characters of a and b, merged by rank, end as exactly a and b."""
-        key = (a, b)
-        known = self.fits.get(key)
-        if known is None:
-            if len(self.fits) > 2_000_000:
-                self.fits.clear()
-            known = self.fits[key] = self._apart(a, b)
+    def follows(self, a: str, b: str, key: int) -> bool:
+        """True if the characters of a and b, merged by rank, end as exactly a and b; key stands for the two."""
+        if len(self.fits) >= PAIRS:
+            self.fits.clear()
+        known = self.fits[key] = self._apart(a, b)
         return known
 
     def _apart(self, x: str, y: str) -> bool:
@@ -167,8 +176,9 @@ class Walk:
     def __init__(self, pieces: Pieces):
         self.p = pieces
         self.word = ""
-        self.last: list[str] = [""]  # last piece of each prefix
-        self.best: list[float] = [0.0]  # unigram: score of each prefix
+        self.last: list[str] = [""]  # last piece of the best path of each prefix
+        self.best: list[float] = [0.0]  # its score
+        self.mark: list[int] = [0]  # its number
 
     def encode(self, word: str) -> list[str]:
         """Pieces of a word; words in sorted order share the most."""
@@ -177,7 +187,7 @@ class Walk:
             if x != y:
                 break
             same += 1
-        del self.last[same + 1 :], self.best[same + 1 :]
+        del self.last[same + 1 :], self.best[same + 1 :], self.mark[same + 1 :]
         (self._bpe if self.p.kind == BPE else self._unigram)(word, same + 1)
         self.word = word
         out, at = [], len(word)
@@ -187,27 +197,31 @@ class Walk:
         return out[::-1]
 
     def _bpe(self, word: str, begin: int) -> None:
-        p, last, add = self.p, self.last, self.last.append
-        score, sizes, whole, fits, follows = p.score, p.sizes.get, p.is_whole, p.fits.get, p.follows
+        p, last, best, mark = self.p, self.last, self.best, self.mark
+        score, number, sizes, whole, fits, follows, single = p.score, p.id, p.sizes.get, p.is_whole, p.fits.get, p.follows, p.single
         for end in range(begin, len(word) + 1):
-            # longer pieces that end here, then a pair of characters, else the character by itself
-            for size in (*sizes(word[end - 3 : end], ()), 2) if end > 2 else (2,) if end == 2 else ():
+            # longer pieces that end here, then a pair of characters, else the character by itself; one of them fits
+            for size in sizes(word[end - 3 : end], PAIR) if end > 2 else PAIR:
                 if size > end:
                     continue
                 t = word[end - size : end]
-                if t in score and whole(t):
+                i = number.get(t)
+                if i is not None and whole(t):
                     if size == end:
                         break
-                    before = last[end - size]
-                    ok = fits((before, t))
-                    if follows(before, t) if ok is None else ok:
+                    key = mark[end - size] << 24 | i
+                    ok = fits(key)
+                    if follows(last[end - size], t, key) if ok is None else ok:
                         break
             else:
-                t = word[end - 1]
-            add(t)
+                size, t = 1, word[end - 1]
+                i = single(t)
+            last.append(t)
+            mark.append(i)
+            best.append(best[end - size] + score.get(t, p.lowest))
 
     def _unigram(self, word: str, begin: int) -> None:
-        score, best = self.p.score, self.best
+        score, best, last = self.p.score, self.best, self.last
         for end in range(begin, len(word) + 1):
             top, piece = None, ""
             for size in range(min(self.p.longest, end), 0, -1):
@@ -221,7 +235,7 @@ class Walk:
                 if top is None or v > top:
                     top, piece = v, t
             best.append(top)
-            self.last.append(piece)
+            last.append(piece)
 
 
 def unpacked(x: bytes) -> np.ndarray:
@@ -234,6 +248,7 @@ class Coder:
     def __init__(self, pieces: Pieces):
         self.p = pieces
         self.known: dict[str, bytes] = {}
+        self.size = 0
 
     def ids_of(self, pieces: list[str]) -> bytes:
         """Ids of some pieces, packed as little-endian 32-bit numbers."""
@@ -248,22 +263,25 @@ class Coder:
                 out.append(self.p.unk)
         return struct.pack(f"<{len(out)}i", *out)
 
-    def learn(self, words) -> None:
+    def learn(self, words: set) -> None:
         """Encode the words not met yet, in sorted order."""
+        if self.size > WORD_BYTES:
+            self.known, self.size = {}, 0
         fresh = sorted(w for w in words if w not in self.known)
-        if len(self.known) + len(fresh) > CACHE:
-            self.known.clear()
-            fresh = sorted(words)
         walk = Walk(self.p)
         for w in fresh:
-            self.known[w] = self.ids_of(walk.encode(w))
+            ids = self.known[w] = self.ids_of(walk.encode(w))
+            self.size += len(w) * 2 + len(ids) + 150
 
     def packed(self, texts: list) -> list:
-        """Packed ids of each text, None for None."""
-        cut = [self.p.words(t) if t is not None else None for t in texts]
-        self.learn(set().union(*(ws for ws in cut if ws)))
+        """Packed ids of each text, None for None.  Only distinct words are held; texts are cut twice."""
+        cut, new = self.p.words, set()
+        for t in texts:
+            if t:
+                new.update(cut(t))
+        self.learn(new)
         known = self.known.__getitem__
-        return [None if ws is None else b"".join(map(known, ws)) for ws in cut]
+        return [None if t is None else b"".join(map(known, cut(t))) for t in texts]
 
     def encode_all(self, texts: list) -> list:
         """Ids of each text as a list."""
@@ -283,7 +301,13 @@ class Coder:
                 raw.append(b)
         if raw:
             out.append(raw.decode("utf-8", "replace"))
-        return "".join(out).replace(MARK, " ")[1:]
+        return "".join(out)[1:]
+
+
+@functools.lru_cache(2)
+def pieces_of(blob: bytes) -> Pieces:
+    """Tables of a model file, made once in each Python worker."""
+    return Pieces(blob)
 
 
 def load(path: str = MODEL_PATH) -> bytes:
@@ -296,14 +320,15 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     """``(id, ids)``: the piece ids of every whole text."""
 
     def run(batches):
-        coder = Coder(Pieces(model))
+        coder = Coder(pieces_of(model))
         for b in batches:
-            for part, texts in text_slices(b):
+            for part, texts in text_slices(b, SLICE):
                 out = coder.packed(texts)
                 ends = np.cumsum([0] + [len(x or b"") // 4 for x in out]).astype(np.int32)
                 flat = pa.array(unpacked(b"".join(x for x in out if x)))
                 lists = pa.ListArray.from_arrays(pa.array(ends), flat, mask=pa.array([x is None for x in out]))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], ["id", "ids"])
+        give_back()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "id long, ids array<int>")
 
@@ -312,7 +337,7 @@ def decode(encoded: DataFrame, model: bytes) -> DataFrame:
     """``(id, text)`` from ``(id, ids)``."""
 
     def run(batches):
-        coder = Coder(Pieces(model))
+        coder = Coder(pieces_of(model))
         for b in batches:
             texts = [None if x is None else coder.decode(x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["id", "text"])
@@ -325,13 +350,14 @@ def digest(docs: DataFrame, model: bytes | None = None) -> DataFrame:
     blob = model if model is not None else load()
 
     def run(batches):
-        coder = Coder(Pieces(blob))
+        coder = Coder(pieces_of(blob))
         for b in batches:
-            for part, texts in text_slices(b):
+            for part, texts in text_slices(b, SLICE):
                 out = coder.packed(texts)
                 n = [None if x is None else len(x) // 4 for x in out]
                 sha = [None if x is None else hashlib.sha256(x).hexdigest() for x in out]
                 same = [None if x is None else coder.decode(unpacked(x).tolist()) == t for x, t in zip(out, texts)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids_sha256", "decoded_same"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_same boolean")
