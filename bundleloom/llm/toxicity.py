@@ -4,8 +4,10 @@ A linear model over hashed words is trained with numpy from confirmed toxic text
 texts (U) by the class-prior-corrected risk ``prior*R_p(+) + max(0, R_u(-) - prior*R_p(-))``; when the
 corrected negative part falls below zero its gradient is reversed, as in the published method.
 
-The fit uses bounded samples (``max_positive``, ``max_unlabelled``: the rows with the smallest seeded
-hash of their id); scoring reads every whole text.  Only ids, texts and the training labels are read.
+The fit uses bounded samples (``max_positive``, ``max_unlabelled``: the rows with the smallest seeded hash of their
+id), P of the confirmed toxic texts and U of all texts of the training fold, confirmed ones among them, as the
+risk supposes.  A hashed word gets a weight if the two samples tell it apart (four standard errors, four texts);
+scoring reads every whole text.  Only ids, texts and the training labels are read.
 
 Defined cases: null or empty texts have no words and get the score of the bias; a null id is never held
 out and never trained on; several labels of one id count as toxic if any is; repeated rows are scored
@@ -14,6 +16,7 @@ alike; without any confirmed toxic text every score is 0.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -22,10 +25,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bundleloom.llm.common import per_batch, seeded
+from bundleloom.llm.common import map_rows, per_batch, seeded
 
 BUCKETS = 1 << 20
 THRESHOLD = 0.7
+#: Words whose weights a task keeps at hand.
+REMEMBERED = 100_000
 TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -44,7 +49,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 class Model:
-    """Weights by bucket, and a bias.  Small: at most ``features`` weights."""
+    """Weights by bucket, and a bias.  At most ``BUCKETS`` weights, of words that stand in the bounded samples."""
 
     def __init__(self, weights: dict[int, float], bias: float | None):
         self.weights, self.bias, self.seen = weights, bias, {}
@@ -53,14 +58,18 @@ class Model:
         """Probability of label 1."""
         if self.bias is None:
             return 0.0
-        seen, total = self.seen, self.bias
+        seen, parts = self.seen, [self.bias]
         for w in words_of(text):
             v = seen.get(w)
             if v is None:
-                if len(seen) > 300_000:
+                if len(seen) >= REMEMBERED:
                     seen.clear()
-                v = seen[w] = self.weights.get(bucket(w), 0.0)
-            total += v
+                v = self.weights.get(bucket(w), 0.0)
+                if len(w) < 64:
+                    seen[w] = v
+            if v:
+                parts.append(v)
+        total = math.fsum(parts)  # the same in any order
         return float(1 / (1 + np.exp(-min(60.0, max(-60.0, total)))))
 
     def __getstate__(self):
@@ -71,7 +80,7 @@ class Model:
         self.seen = {}
 
 
-def fit(positive: list, unlabelled: list, prior: float, features: int = 2000, steps: int = 400, rate: float = 0.1, decay: float = 3e-4) -> Model:
+def fit(positive: list, unlabelled: list, prior: float, steps: int = 400, rate: float = 0.1, decay: float = 3e-4) -> Model:
     """Train from the buckets of each sampled text (lists of integer arrays)."""
     if not positive or not unlabelled:
         return Model({}, None)
@@ -86,8 +95,7 @@ def fit(positive: list, unlabelled: list, prior: float, features: int = 2000, st
     spread = np.sqrt(mean * (1 - mean) * (1 / n_p + 1 / n_u)) + 1e-12
     z = np.abs(rate_p - rate_u) / spread
     z[in_p + in_u < 4] = 0
-    best = np.sort(np.argsort(-z, kind="stable")[:features])
-    best = best[z[best] > 4]
+    best = np.flatnonzero(z > 4)
     place = np.full(BUCKETS, -1)
     place[best] = np.arange(len(best))
     used = place[flat] >= 0
@@ -128,7 +136,7 @@ def _lowest(ids: DataFrame, rows: int, most: int, seed: int) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unlabelled: int = 9000, seed: int = 11) -> Model:
-    """Fit on bounded samples of the training fold: confirmed toxic texts, and texts without that label."""
+    """Fit on bounded samples of the training fold: confirmed toxic texts, and texts of any label or none."""
     marked = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic"))
     marked = marked.filter(~held_out(F.col("id"))).dropna().groupBy("id").agg(F.max("toxic").alias("toxic"))
     counts = marked.agg(F.count("*"), F.sum("toxic")).first()
@@ -138,8 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unla
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     chosen_p = _lowest(marked.filter("toxic = 1"), counts[1], max_positive, seed).select("id", F.lit(1).alias("p"))
     ids = texts.select("id").filter(F.col("id").isNotNull() & ~held_out(F.col("id")))
-    chosen_u = _lowest(ids, docs.count() * 2 // 3, max_unlabelled + max_positive, seed)
-    chosen_u = _lowest(chosen_u.join(chosen_p, "id", "left_anti"), 0, max_unlabelled, seed).select("id", F.lit(0).alias("p"))
+    chosen_u = _lowest(ids, docs.count() * 2 // 3, max_unlabelled, seed).select("id", F.lit(0).alias("p"))
     chosen = F.broadcast(chosen_p.unionByName(chosen_u).distinct())  # at most max_positive + max_unlabelled ids
 
     def batch(ps, texts):
@@ -174,8 +181,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     """The rows of ``docs``, all columns, whose text scores below ``threshold``."""
     model = train(docs, labels)
 
-    @F.pandas_udf("boolean")
-    def clean(texts):
-        return texts.map(lambda t: model.score(t) < threshold).astype(bool)
+    def run(part, texts):
+        return part.filter(pa.array([model.score(t) < threshold for t in texts], pa.bool_()))
 
-    return docs.filter(clean(F.col(text_col)))
+    return map_rows(docs, text_col, run).toDF(*docs.columns)
