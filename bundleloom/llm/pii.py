@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bundleloom.llm.common import per_batch
+from bundleloom.llm.common import map_rows, per_batch
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "aba")
 BASE = KINDS[:4]
@@ -199,11 +199,12 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span of ``text_col`` replaced; all other columns and rows stay as they are."""
 
-    @F.pandas_udf("string")
-    def clean(texts):
-        return texts.map(redacted, na_action="ignore")
+    at = docs.columns.index(text_col)
 
-    return docs.withColumn(text_col, clean(F.col(text_col)))
+    def run(part, texts):
+        return part.set_column(at, part.schema.field(at), pa.array([redacted(t) for t in texts], part.schema.field(at).type))
+
+    return map_rows(docs, text_col, run).toDF(*docs.columns)
 
 
 DIGEST = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores string"
