@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bundleloom.llm.common import seeded, stage
+from bundleloom.llm.common import give_back, map_rows, place, seeded, stage, text_slices
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -25,6 +25,8 @@ MOST = 2
 SEED = 23
 #: Documents of one source and length ranked in one task; more are cut by hash first.
 SPLIT = 20_000
+#: Words of a source's budget that dynamic programming settles.
+ROOM = 1 << 20
 
 
 def targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -47,13 +49,13 @@ def targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int
     return t.select("source", "total", F.coalesce(F.least("cap", level["level"] * F.col("weight")), F.col("cap")).alias("target"))
 
 
-def fill(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+def fill(lengths: np.ndarray, counts: np.ndarray, budget: int, room: int = ROOM) -> np.ndarray:
     """How many documents of each length to take so that their lengths sum as near ``budget`` as they can.
 
-    lengths ascending and positive.  A proportional share is taken first, and dynamic programming settles
-    the last few longest lengths' worth: 16 of them, but 4 once the longest is 60,000 words or more, which
-    bounds its time and memory.  A sum that only other documents would reach can be missed then; what is
-    left over or short is never more than half the longest length.
+    lengths ascending and positive.  A proportional share is taken first, and dynamic programming settles the
+    last ``room`` words, whatever the lengths, in memory of that order.  Where the budget is within ``room`` no
+    sum is nearer; otherwise what is left over or short is never more than half the longest length.
+    A document longer than ``room`` words takes no part in the programme and is added where that comes nearer.
     """
     whole = int((lengths * counts).sum())
     if budget <= 0 or not len(lengths):
@@ -62,17 +64,26 @@ def fill(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         return counts.copy()
     take = np.minimum(counts, np.floor(counts * (budget / whole)).astype(np.int64))
     left = budget - int((take * lengths).sum())
-    # the programme gets a few longest lengths' worth of budget and documents, by taking more or giving back
-    longest = int(lengths[-1])
-    room = min(budget, 16 * longest if longest < 60_000 else 4 * longest)
+    # the programme gets the last words of the budget, by taking more or giving back
+    short = int(np.searchsorted(lengths, room, side="right"))
+    room = min(budget, room)
     for i in reversed(range(len(lengths))):
         size = int(lengths[i])
         more = min(int(counts[i] - take[i]), (left - room) // size) if left > room else -min(int(take[i]), -(-(room - left) // size))
         take[i] += more
         left -= more * size
-    # bounded knapsack over sums from 0 to a little over what is left: which item first reached each sum
-    top = left + longest
-    reached, by = np.zeros(top + 1, dtype=bool), np.full(top + 1, -1)
+    if short and left > 0:
+        left -= _settle(lengths[:short], counts[:short], take[:short], left)
+    spare = [i for i in range(short, len(lengths)) if take[i] < counts[i]]
+    if spare and abs(left - int(lengths[near := min(spare, key=lambda i: abs(left - int(lengths[i])))])) < abs(left):
+        take[near] += 1
+    return take
+
+
+def _settle(lengths: np.ndarray, counts: np.ndarray, take: np.ndarray, left: int) -> int:
+    """Bounded knapsack: raises ``take`` by a sum as near ``left`` as there is, and gives that sum."""
+    top = left + int(lengths[-1])
+    reached, by = np.zeros(top + 1, dtype=bool), np.full(top + 1, -1, dtype=np.int32)  # which item first reached each sum
     reached[0] = True
     items: list[tuple[int, int]] = []
     for i in range(len(lengths)):
@@ -89,31 +100,40 @@ def fill(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         if reached[left]:
             break
     sums = np.flatnonzero(reached)
-    at = int(sums[np.abs(sums - left).argmin()])
+    found = at = int(sums[np.abs(sums - left).argmin()])
     while at:
         i, n = items[by[at]]
         take[i] += n
         at -= n * int(lengths[i])
-    return take
+    return found
 
 
-def plan(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> tuple[DataFrame, DataFrame]:
-    """From ``(source, size)`` rows: targets by source, and by source and size the copies of all and the picks."""
+def plan(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """From ``(source, size)`` rows, for each source and size: n, total, target, copies of all (epochs) and picks.
+
+    A task holds the lengths of one source, a row each, and no documents.
+    """
     hist = stage(sizes.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-lengths")
     goal = targets(hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("total")), weights, share, most)
-    goal = stage(goal, "mix-targets")
-    h, g = hist.filter("size > 0").alias("h"), goal.alias("g")
+    h, g = hist.alias("h"), goal.alias("g")
     joined = h.join(g, F.col("h.source").eqNullSafe(F.col("g.source"))).select("h.source", "size", "n", "total", "target")
 
     def one(t: pa.Table) -> pa.Table:
         t = t.sort_by("size")
+        size, n = (t[c].to_numpy().astype(np.int64) for c in ("size", "n"))
         total, target = t["total"][0].as_py(), t["target"][0].as_py()
-        epochs = int(target // total)
-        picks = fill(t["size"].to_numpy().astype(np.int64), t["n"].to_numpy().astype(np.int64), round(target) - epochs * total)
-        return t.select(["source", "size", "n"]).append_column("epochs", pa.array([epochs] * len(t), pa.int64())).append_column("picks", pa.array(picks, pa.int64()))
+        epochs = int(target // total) if total else 0
+        picks, some = np.zeros(len(size), np.int64), size > 0
+        picks[some] = fill(size[some], n[some], round(target) - epochs * total)
+        return t.append_column("epochs", pa.array(np.where(some, epochs, 0), pa.int64())).append_column("picks", pa.array(picks, pa.int64()))
+
+    out = "source string, size long, n long, total long, target double, epochs long, picks long"
+    return stage(joined.groupBy("source").applyInArrow(one, out), "mix-plan")
+
 
-    chosen = joined.groupBy("source").applyInArrow(one, "source string, size long, n long, epochs long, picks long")
-    return goal, stage(chosen, "mix-plan")
+def words_in(texts: list) -> pa.Array:
+    """Words of each whole text."""
+    return pa.array([len(t.encode("utf-8", "surrogatepass").split()) if t else 0 for t in texts], pa.int64())
 
 
 def counted(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -121,39 +141,41 @@ def counted(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     def run(batches):
         for b in batches:
-            n = [len(t.encode("utf-8", "surrogatepass").split()) if t else 0 for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["id", "source", "size"])
+            for part, texts in text_slices(b, column=2):
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), words_in(texts)], ["id", "source", "size"])
+        give_back()
 
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col("source").cast("string"), F.col("text").cast("string"))
     return own.mapInArrow(run, "id long, source string, size long")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken of each document."""
+    """doc_id, source, size, source_size, target, copies and taken of each document.
+
+    The picks of a length are its documents with the smallest seeded hash (63 bits), then id.  Lengths with many
+    documents are cut into parts of one range of that hash each, so parts change the work and never a pick.
+    """
     sized = stage(counted(docs), "mix-sizes")
-    goal, chosen = plan(sized.select("source", "size"), weights, share, most)
-    mark = seeded(seed, F.col("d.id"))
-    d, c = sized.alias("d"), chosen.alias("c")
-    same = F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.size") == F.col("c.size"))
-    parts = F.ceil(F.col("c.n") / SPLIT)
-    placed = d.join(c, same, "left").select("d.id", "d.source", "d.size", "n", "epochs", "picks", mark.alias("mark"), F.coalesce(F.shiftright(F.shiftrightunsigned(mark, 32) * parts, 32), F.lit(0)).alias("part"))
-    group = ["source", "size", "part"]
-    # rank within a part; earlier parts of a large group are known by their counts alone
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy("mark", "id"))
+    # a null source gets a key of its own; the plan grows with sources and lengths: joined by shuffle, never broadcast
+    key = F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("key")
+    chosen = plan(sized.select("source", "size"), weights, share, most).select(key, "size", "n", "total", "target", "epochs", "picks")
+    mark = F.shiftrightunsigned(seeded(seed, F.col("id")), 1)
+    placed = sized.select("id", "source", "size", key, mark.alias("mark")).join(chosen.hint("merge"), ["key", "size"])
+    parts = F.ceil(F.col("n") / SPLIT)
+    placed = placed.withColumn("part", F.shiftright(F.shiftright("mark", 31) * parts, 32))
     undecided = (F.col("picks") > 0) & (F.col("picks") < F.col("n"))
-    ranked = placed.filter(undecided).withColumn("rank", rank)
+    group = ["key", "size", "part"]
+    # rank within a part; earlier parts of a large group are known by their counts alone
+    ranked = placed.filter(undecided).withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy("mark", "id")))
     cut = placed.filter(undecided & (F.col("n") > SPLIT)).groupBy(*group).agg(F.count("*").alias("m"))
-    ahead = F.coalesce(F.sum("m").over(Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = F.coalesce(F.sum("m").over(Window.partitionBy("key", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cut = cut.select(*group, ahead.alias("ahead"))
-    r, k = ranked.alias("r"), cut.alias("k")
-    on = F.col("r.source").eqNullSafe(F.col("k.source")) & (F.col("r.size") == F.col("k.size")) & (F.col("r.part") == F.col("k.part"))
     picked = F.when(F.col("rank") + F.coalesce("ahead", F.lit(0)) <= F.col("picks"), 1).otherwise(0)
-    settled = r.join(k, on, "left").select("r.id", "r.source", "r.size", (F.col("epochs") + picked).alias("copies"))
-    simple = placed.filter(~F.coalesce(undecided, F.lit(False)))
-    simple = simple.select("id", "source", "size", F.coalesce(F.col("epochs") + (F.col("picks") > 0).cast("long"), F.lit(0)).alias("copies"))
-    out, g = settled.unionByName(simple).alias("o"), goal.alias("g")
-    out = out.join(g, F.col("o.source").eqNullSafe(F.col("g.source")))
-    return out.select(F.col("id").alias("doc_id"), "o.source", "size", F.col("total").alias("source_size"), "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    told = ["id", "source", "size", "total", "target"]
+    settled = ranked.join(cut.hint("merge"), group, "left").select(*told, (F.col("epochs") + picked).alias("copies"))
+    simple = placed.filter(~undecided).select(*told, (F.col("epochs") + (F.col("picks") > 0).cast("long")).alias("copies"))
+    out = settled.unionByName(simple)
+    return out.select(F.col("id").alias("doc_id"), "source", "size", F.col("total").alias("source_size"), "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -166,22 +188,16 @@ def take(docs: DataFrame) -> DataFrame:
     Rows that share an id are told apart by source and size; among rows alike in these too, the copies that
     the mix takes of them all are dealt out evenly.
     """
-    own = mix(docs).filter("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"))
-    own = own.agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    flat = docs.withColumn("_words", _count_udf()(F.col("text")))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
-    hit = flat.join(own, on)
+    own = mix(docs).filter("copies > 0").groupBy(F.col("doc_id").alias("id"), "source", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).alias("o")
+    doc_id, source, text = (F.col(place(docs, c)) for c in ("doc_id", "source", "text"))
+    flat = map_rows(docs, "text", lambda part, texts: part.append_column("words", words_in(texts)), "words long")
+    on = doc_id.cast("long").eqNullSafe(F.col("o.id")) & source.cast("string").eqNullSafe(F.col("o.source")) & (F.col("words") == F.col("o.size"))
+    hit = flat.join(own.hint("merge"), on)
     # rows alike in all three: told apart by a place, so that their copies come out exactly
-    alike = hit.filter("_rows > 1")
-    place = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy("text"))
-    each = F.floor(F.col("_copies") / F.col("_rows")) + F.when(place <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
-    hit = hit.filter("_rows = 1").withColumn("_each", F.col("_copies")).unionByName(alike.withColumn("_each", each)).filter("_each > 0")
-    return hit.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_each").cast("int")))).select(*[f"`{c}`" for c in docs.columns])
-
-
-def _count_udf():
-    @F.pandas_udf("long")
-    def count(texts):
-        return texts.map(lambda t: len(t.encode("utf-8", "surrogatepass").split()) if t else 0).astype("int64")
-
-    return count
+    at = F.row_number().over(Window.partitionBy("id", "o.source", "size").orderBy(text))
+    each = F.floor(F.col("copies") / F.col("rows")) + F.when(at <= F.col("copies") % F.col("rows"), 1).otherwise(0)
+    columns = [f"c{i}" for i in range(len(docs.columns))]
+    once = hit.filter("rows = 1").select(*columns, F.col("copies").alias("each"))
+    alike = hit.filter("rows > 1").select(*columns, each.alias("each")).filter("each > 0")
+    again = F.explode(F.sequence(F.lit(1), F.col("each").cast("int")))
+    return once.unionByName(alike).select(*columns, again.alias("copy")).select(*columns).toDF(*docs.columns)
