@@ -16,6 +16,7 @@ of null ids only has a null id); repeated rows give repeated results.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bundleloom.llm.common import connected_components, stage, text_slices
+from bundleloom.llm.common import by_place, connected_components, give_back, place, stage, text_slices
 
 SEED = 42
 RADIUS = 4
@@ -56,10 +57,14 @@ def fingerprints(texts: list, width: int) -> np.ndarray:
     """64-bit majority of the shingle hashes of each text; zero where there are none."""
     each = [shingle_hashes(t, width) for t in texts]
     lens = np.array([len(x) for x in each], dtype=np.int64)
-    out = np.zeros(len(each), dtype=np.uint64)
+    return majority(np.fromiter(itertools.chain.from_iterable(each), dtype=np.uint64, count=int(lens.sum())), lens)
+
+
+def majority(flat: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """A fingerprint for each run of ``lens`` hashes: the bits set in over half of them."""
+    out = np.zeros(len(lens), dtype=np.uint64)
     if not lens.sum():
         return out
-    flat = np.fromiter(itertools.chain.from_iterable(each), dtype=np.uint64, count=int(lens.sum()))
     used = np.flatnonzero(lens)
     first = np.cumsum(lens) - lens
     # cut into runs of at most 255 hashes, whose 8-bit counters can't overflow
@@ -79,6 +84,7 @@ def fingerprint(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: s
         for b in batches:
             for part, texts in text_slices(b):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints(texts, width).view(np.int64))], ["id", "fp"])
+        give_back()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "id long, fp long")
 
@@ -180,11 +186,12 @@ class Forest:
                 up[:] = flat
 
 
-def link_sorted(fps: np.ndarray, bucket: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links among rows that share a bucket.
+def hooked(fps: np.ndarray, bucket: np.ndarray, side: np.ndarray, radius: int, confirm: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(places, the place each hangs on): a spanning forest of the links among rows that share a bucket.
 
     side: 0 for rows compared with all others of their bucket; in a bucket of two chunks, 1 and 2 mark
-    the chunks, and only links across them are looked for.
+    the chunks, and only links across them are looked for.  confirm, if given, decides about pairs of places
+    within the radius that are not joined yet.
     """
     _, inverse, sizes = np.unique(bucket, return_inverse=True, return_counts=True)
     order = np.lexsort((inverse, -sizes[inverse]))
@@ -197,10 +204,18 @@ def link_sorted(fps: np.ndarray, bucket: np.ndarray, side: np.ndarray, radius: i
         words = -(-active // 64)
         hit = lanes(within(planes[:, :words], _shifted(planes, d, words), radius), min(active, n - d))
         if len(hit):
-            ok = (inverse[hit] == inverse[hit + d]) & ((side[hit] == 0) | (side[hit] != side[hit + d]))
-            forest.join(hit[ok], hit[ok] + d)
+            hit = hit[(inverse[hit] == inverse[hit + d]) & ((side[hit] == 0) | (side[hit] != side[hit + d]))]
+            if confirm is not None and len(hit := hit[forest.up[hit] != forest.up[hit + d]]):
+                hit = hit[confirm(order[hit], order[hit + d])]
+            forest.join(hit, hit + d)
     child = np.flatnonzero(forest.up != np.arange(n))
-    return fps[child], fps[forest.up[child]]
+    return order[child], order[forest.up[child]]
+
+
+def link_sorted(fps: np.ndarray, bucket: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links among fingerprints that share a bucket; see :func:`hooked`."""
+    a, b = hooked(fps, bucket, side, radius)
+    return fps[a], fps[b]
 
 
 def blocks_for(rows: int, radius: int) -> tuple[int, int]:
@@ -269,16 +284,15 @@ def keep_one(docs: DataFrame, width: int = 5, radius: int = RADIUS) -> DataFrame
 
 def keep_lowest(docs: DataFrame, named: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id names its component in ``(id, component)``, and those without an id."""
-    kept = named.filter("id = component").groupBy(F.col("id").alias("_kept_id")).agg(F.count("*").alias("_rows"))
+    own, doc_id = by_place(docs), F.col(place(docs, "doc_id"))
+    kept = named.filter("id = component").groupBy(F.col("id").alias("kept_id")).agg(F.count("*").alias("rows"))
     kept = stage(kept, "simhash-kept")
     # the ids grow with the documents: one plan at every size, never a broadcast
-    hit = docs.join(kept.hint("merge"), docs.doc_id == F.col("_kept_id"), "left_semi")
-    rest = docs.filter(F.col("doc_id").isNull())
-    again = kept.filter("_rows > 1")
-    if again.isEmpty():
-        return hit.unionByName(rest)
-    # only rows that repeat an id are brought together
-    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    one = hit.join(again, hit.doc_id == F.col("_kept_id"), "left_semi").groupBy("doc_id").agg(F.min(whole).alias("_row"))
-    one = one.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
-    return hit.join(again, hit.doc_id == F.col("_kept_id"), "left_anti").unionByName(one).unionByName(rest)
+    hit = own.join(kept.hint("merge"), doc_id == F.col("kept_id"), "left_semi")
+    rest = own.filter(doc_id.isNull())
+    again = kept.filter("rows > 1")
+    if not again.isEmpty():
+        # only rows that repeat an id are brought together
+        one = hit.join(again.hint("merge"), doc_id == F.col("kept_id"), "left_semi").groupBy(doc_id.alias("kept_id")).agg(F.min(F.struct(*own.columns)).alias("row"))
+        hit = hit.join(again.hint("merge"), doc_id == F.col("kept_id"), "left_anti").unionByName(one.select("row.*"))
+    return hit.unionByName(rest).toDF(*docs.columns)
