@@ -1,6 +1,6 @@
 """URL filter: explicit rules first, then logistic regression on hashed character n-grams of host and path.
 
-The model is trained with numpy on the driver from ``EXAMPLES``, a small table of labelled URLs; its
+The model is trained with numpy on the driver from ``EXAMPLES``, a small table of labelled URLs of distinct hosts; its
 weights (``BUCKETS`` numbers) go with the tasks.  Host, path and rules are plain column expressions.
 
 Defined cases: a null url, or one without ``://``, has empty host and path, no rule, and the verdict the
@@ -23,22 +23,52 @@ SIZES = (3, 4, 5)
 # Verdict, host, path prefix.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-# Labelled URLs: hosts to refuse and hosts to admit, each seen with a few paths.
-BAD_HOSTS = (
-    "spam-farm.example.org", "www.cheap-pills.example.com", "casino-bonus.example.com", "blog.free-money.example.org",
-    "xxx-videos.example.com", "m.adult-cams.example.org", "win-prize.example.com", "replica-watches.example.org",
-    "payday-loans.example.com", "malware-download.example.org", "warez-crack.example.com", "seo-links.example.org",
-    "hot-singles.example.com", "online-poker.example.org", "viagra-shop.example.com", "click-bait.example.org",
-)
-GOOD_HOSTS = (
-    "www.library.example.org", "blog.gardening.example.com", "news.example.com", "m.recipes.example.org",
-    "docs.python.example.org", "university.example.com", "www.museum.example.org", "weather.example.com",
-    "thther.example.org", "blog.thering.example.com", "www.therti.example.org", "ththed.example.com",
-    "m.ththan.example.org", "tiontion.example.com", "wiki.history.example.org", "forum.cycling.example.com",
-)
-BAD_PATHS = ("/en/728?", "/buy-now/cheap", "/win/free-prize.html", "/fr/450", "/")
-GOOD_PATHS = ("/en/671", "/fr/825", "/articles/2021/index.html", "/es/533/", "/")
-EXAMPLES = tuple((f"http://{h}{p}", 1) for h in BAD_HOSTS for p in BAD_PATHS) + tuple((f"http://{h}{p}", 0) for h in GOOD_HOSTS for p in GOOD_PATHS)
+# Labelled URLs, one for each host: to refuse (gambling, adult, pills, loans, fakes, cracks, link farms, prizes) and to admit.
+REFUSED = """
+http://spam-farm.example.org/en/links http://best-casino-bonus.example.com/spin http://online-casino.example.org/slots/free-spins http://casino-royal.example.net/jackpot
+http://lucky-slots.example.com/casino/bonus http://poker-bonus.example.org/play http://online-poker.example.com/join-now http://free-slots-casino.example.net/
+http://sports-betting-tips.example.com/bet http://bet-win-online.example.org/bonus http://casino-win.example.info/en/ http://mega-jackpot.example.com/win/prize
+http://win-free-prize.example.org/claim.html http://free-iphone-prize.example.com/winner http://win-money-now.example.net/claim http://cash-prize-winner.example.org/free
+http://xxx-videos.example.com/free-porn http://free-porn-tube.example.org/xxx http://adult-cams.example.net/live-sex http://live-sex-cams.example.com/adult
+http://hot-singles.example.org/dating http://adult-dating-tonight.example.com/hot http://sexy-girls-cams.example.net/xxx http://nude-cams.example.org/live
+http://xxx-adult-movies.example.com/hot http://escort-girls.example.org/hot-singles http://cheap-pills.example.com/buy-now http://buy-viagra-online.example.org/cheap
+http://viagra-shop.example.net/pills http://cheap-cialis-pills.example.com/order http://online-pharmacy-pills.example.org/no-prescription http://diet-pills-fast.example.com/buy
+http://weight-loss-pills.example.net/buy-cheap http://no-prescription-meds.example.org/cheap http://payday-loans.example.com/apply-now http://fast-cash-loans.example.org/payday
+http://instant-loans-online.example.net/cash http://bad-credit-loans.example.com/apply http://cheap-payday-cash.example.org/loans http://easy-money-loans.example.info/now
+http://free-money.example.org/make-money-fast http://make-money-fast.example.com/get-rich http://get-rich-quick.example.net/money http://earn-cash-online.example.org/money-fast
+http://crypto-doubler.example.com/get-rich http://free-bitcoin-doubler.example.org/claim http://replica-watches.example.com/cheap-replica http://fake-rolex-replica.example.org/buy
+http://replica-handbags.example.net/cheap http://cheap-replica-shoes.example.com/buy-now http://fake-id-shop.example.org/buy http://warez-crack.example.com/keygen
+http://cracked-software.example.org/warez http://keygen-serial-crack.example.net/download http://free-crack-download.example.com/keygen http://malware-download.example.org/setup.exe
+http://torrent-warez.example.com/crack http://nulled-scripts-crack.example.org/free-download http://game-hacks-crack.example.net/keygen http://free-keygen.example.info/crack.exe
+http://seo-links.example.com/buy-links http://buy-backlinks.example.org/seo http://cheap-seo-backlinks.example.net/links http://link-farm-seo.example.com/buy
+http://click-bait.example.org/you-wont-believe http://spam-links-farm.example.com/seo http://free-traffic-seo.example.net/links http://buy-followers-cheap.example.org/links
+http://virus-alert-support.example.com/call-now http://account-verify-login.example.org/secure-update http://secure-bank-login-verify.example.net/account http://verify-account-update.example.com/login
+""".split()
+ADMITTED = """
+http://www.library.example.org/catalogue/2019 http://university-library.example.com/collections/maps http://public-library.example.net/events/reading http://national-archive.example.org/records/1901
+http://news.example.com/world/2021/03/election http://daily-news.example.org/politics/budget http://local-news.example.net/city/council http://evening-post.example.com/sport/football
+http://weather.example.com/forecast/monday http://weather-service.example.org/rain/radar http://climate-data.example.net/temperature/series http://docs.python.example.org/3/library/re.html
+http://docs.example.com/guide/install.html http://developer-docs.example.org/api/reference http://manual.example.net/chapter/two http://wiki.history.example.org/article/rome
+http://encyclopedia.example.com/article/photosynthesis http://history-museum.example.org/exhibits/bronze-age http://www.museum.example.net/visit/opening-hours http://art-gallery.example.com/paintings/landscape
+http://university.example.com/courses/biology http://physics-department.example.org/lectures/optics http://school.example.net/calendar/term http://primary-school.example.com/parents/letter
+http://college-admissions.example.org/apply/undergraduate http://science-journal.example.com/article/genome http://medical-journal.example.org/issue/12/cardiology http://astronomy.example.net/telescope/images
+http://blog.gardening.example.com/roses/pruning http://garden-plants.example.org/vegetables/tomato http://recipes.example.com/soup/lentil http://m.recipes.example.org/bread/sourdough
+http://cooking-at-home.example.net/dinner/pasta http://baking.example.com/cakes/lemon http://forum.cycling.example.com/thread/gears http://bicycle-repair.example.org/wheels/spokes
+http://hiking-trails.example.net/mountains/map http://travel-guide.example.com/italy/florence http://railway-timetable.example.org/stations/north http://city-transport.example.net/bus/lines
+http://parliament.example.org/debates/2020 http://city-council.example.com/minutes/may http://government-statistics.example.net/population/census http://tax-office.example.org/forms/annual
+http://hospital.example.com/departments/paediatrics http://health-service.example.org/vaccination/schedule http://dental-practice.example.net/appointments http://animal-shelter.example.com/adopt/dogs
+http://birdwatching.example.org/species/heron http://wildlife-trust.example.net/reserves/wetland http://zoo.example.com/animals/penguins http://marine-biology.example.org/coral/reef
+http://poetry.example.com/sonnets/spring http://short-stories.example.org/authors/chekhov http://bookshop.example.net/novels/classics http://book-reviews.example.com/history/medieval
+http://orchestra.example.org/concerts/autumn http://piano-lessons.example.com/beginners/scales http://theatre.example.net/programme/hamlet http://folk-music.example.org/songs/ballads
+http://open-source-project.example.com/releases/changelog http://code-hosting.example.org/project/issues http://programming-tutorial.example.net/loops/examples http://mathematics.example.com/algebra/groups
+http://statistics-course.example.org/regression/notes http://chemistry-lab.example.net/safety/rules http://geology-society.example.com/minerals/quartz http://maps.example.org/region/coast
+http://football-club.example.com/fixtures/saturday http://tennis-club.example.org/members/courts http://chess.example.net/openings/sicilian http://swimming-pool.example.com/timetable
+http://community-centre.example.org/classes/pottery http://village-hall.example.net/notices http://church-history.example.com/buildings/tower http://charity.example.org/volunteer/report
+http://knitting-patterns.example.com/scarf/wool http://woodworking.example.org/joints/dovetail http://photography.example.net/portrait/light http://film-festival.example.com/programme/documentary
+http://language-school.example.org/german/grammar http://dictionary.example.com/word/meadow http://translation-notes.example.net/french/idioms http://linguistics.example.org/phonology/vowels
+http://farmers-market.example.com/season/apples http://energy-agency.example.org/solar/report http://engineering.example.net/bridges/steel http://research-institute.example.com/publications/annual
+""".split()
+EXAMPLES = tuple((u, 1) for u in REFUSED) + tuple((u, 0) for u in ADMITTED)
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -75,7 +105,7 @@ def split_url(url: str) -> tuple[str, str]:
     return host.lower(), tail[: min((i for i in (tail.find(c) for c in "?#") if i >= 0), default=len(tail))]
 
 
-def train(examples=EXAMPLES, steps: int = 300, rate: float = 2.0, decay: float = 1e-3) -> np.ndarray:
+def train(examples=EXAMPLES, steps: int = 600, rate: float = 8.0, decay: float = 3e-4) -> np.ndarray:
     """Weights by bucket, the bias last; each example's n-grams share unit length."""
     x = np.zeros((len(examples), BUCKETS + 1))
     for i, (url, _) in enumerate(examples):
