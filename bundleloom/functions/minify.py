@@ -1,12 +1,11 @@
 """Text transforms as Column expressions over bytes.
 
-All work on the ISO-8859-1 view of the bytes, which keeps every byte.  GLSL with quotes needs a state
-machine: that one is an Arrow function, and only texts whose comment-free form still holds a quote reach it.
+All work on the ISO-8859-1 view of the bytes, which keeps every byte.  Shaders are cut into strings, comments and
+the rest; white space inside strings is moved to code points that no byte has while lines are tidied.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,9 +16,12 @@ _COMMENTS = r"//[^\r\n]*|/\*.*?(?:\*/|\z)"
 JSON_ALL = f"(?s){_STRING}|{_COMMENTS}|[ \\t\\r\\n]+"
 JSON_COMMENTS = f"(?s){_STRING}|{_COMMENTS}"
 
-GLSL_COMMENTS = r"(?s)//[^\n]*|/\*[^\n]*?(?:\*/|\n?\z)|/\*[^\n]*?(\n).*?(?:\*/|.\z)"
-#: What follows the removal of comments, in order: pattern, replacement.
-GLSL_SPACE = ((r"[ \t\r]+", " "), (r"\n[ \n]*", "\n"), (r"\A[ \n]+", ""), (r" ?\z", ""), (r"\n?\z", ""))
+#: A shader's parts: strings in either quote, line comments, block comments, anything else.
+GLSL_PARTS = r"""(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|\\?\z)|'[^'\\]*+(?:\\.[^'\\]*+)*+(?:'|\\?\z)|//[^\n]*+|/\*.*?(?:\*/|\z)|[^"'/]++|/"""
+#: Tidying between strings, in order, and at the very end: pattern, replacement.
+GLSL_SPACE = ((r"[ \t\r]+", " "), (r"\n[ \n]*", "\n"), (r"\A[ \n]+", ""))
+GLSL_END = ((r" ?\z", ""), (r"\n?\z", ""))
+SPACE, HIDDEN = " \t\r\n", "\ue000\ue001\ue002\ue003"
 
 
 def view(data: Column) -> Column:
@@ -55,26 +57,29 @@ def properties_lines(data: Column) -> Column:
     return key_value_lines(data, "#", "!")
 
 
-def glsl_without_comments(data: Column) -> Column:
-    """Comments out, as if the text held no quotes; still the ISO-8859-1 view."""
-    return F.regexp_replace(view(data), GLSL_COMMENTS, "$1")
+def _glsl_part(x: Column) -> Column:
+    """A string with its white space hidden; a line feed for a comment that spans lines, else nothing; or the part itself."""
+    head, n = F.substring(x, 1, 2), F.char_length(x)
+    closed = F.endswith(x, F.lit("*/")) & (n >= 4)
+    # the last byte of a comment without an end isn't looked at
+    body = F.when(closed, x).otherwise(F.left(x, F.greatest(n - 1, F.lit(2))))
+    out = F.when(F.substring(x, 1, 1).isin('"', "'"), F.translate(x, SPACE, HIDDEN)).when(head == "//", "")
+    return out.when(head == "/*", F.when(F.contains(body, F.lit("\n")), "\n").otherwise("")).otherwise(x)
 
 
-def glsl_quoted(data: Column) -> Column:
-    """True where a quote stands outside comments, so that the native chain isn't exact."""
-    return glsl_without_comments(data).rlike("[\"']")
-
-
-def glsl_minify_native(data: Column) -> Column:
-    """Exact for texts without quotes outside comments."""
-    out = glsl_without_comments(data)
+def glsl_minify(data: Column) -> Column:
+    """Comments out, runs of blanks to one, none at the start of a line, no blank lines; strings stay as they are."""
+    out = F.array_join(F.transform(F.regexp_extract_all(view(data), F.lit(GLSL_PARTS), F.lit(0)), _glsl_part), "")
     for pattern, to in GLSL_SPACE:
         out = F.regexp_replace(out, pattern, to)
+    out = F.translate(out, HIDDEN, SPACE)
+    for pattern, to in GLSL_END:
+        out = F.regexp_replace(out, pattern, to)
     return unview(out)
 
 
 def glsl_text(data: bytes) -> bytes:
-    """The same for any text: a walk with a quote state."""
+    """The same as a walk over the bytes with a quote state: the plain form."""
     s, out, i, n = data, bytearray(), 0, len(data)
     while i < n:
         c = s[i : i + 1]
@@ -112,13 +117,3 @@ def glsl_text(data: bytes) -> bytes:
     if out[-1:] == b"\n":
         del out[-1:]
     return bytes(out)
-
-
-def glsl_minify_quoted(data: Column) -> Column:
-    """The walk as an Arrow-batched function."""
-
-    @F.pandas_udf("binary")
-    def walk(d: pd.Series) -> pd.Series:
-        return d.map(glsl_text, na_action="ignore")
-
-    return walk(data)

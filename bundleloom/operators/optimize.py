@@ -1,21 +1,18 @@
-"""Per-file transforms: files are split by kind, so that Python only ever sees media and quoted shaders."""
+"""Per-file transforms: one pass of column expressions chosen by extension; Python only ever sees media files."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bundleloom.functions import media, minify, paths
-from bundleloom.operators import registry  # noqa: I001
+from bundleloom.operators import registry
 from bundleloom.operators.registry import Optimizer
 from bundleloom.options import Options
 from bundleloom.schema import DEFLATE
 
 
-
 def _json(rel: Column, data: Column, o: Options):
     if not o.json_minify:
         return data, F.lit("")
@@ -32,7 +29,7 @@ def _properties(rel, data, o):
 
 
 def _shader(rel, data, o):
-    return (minify.glsl_minify_native(data) if o.text_minify else data), F.lit("")
+    return (minify.glsl_minify(data) if o.text_minify else data), F.lit("")
 
 
 JSON, SHADER = Optimizer("json", columns=_json), Optimizer("shader", columns=_shader)
@@ -56,12 +53,13 @@ def _finish(df: DataFrame, data: Column, note: Column) -> DataFrame:
     return df.drop("data").withColumnRenamed("_new", "data").select(*_OUT)
 
 
-def _media(df: DataFrame, fn, o: Options) -> DataFrame:
+def _media(df: DataFrame, which: dict, o: Options) -> DataFrame:
+    """Media files through the function of their extension."""
     schema = "rel string, ordinal bigint, ext string, kind string, orig bigint, new bigint, method int, changed boolean, skipped boolean, note string, data binary, error string"
 
     def run(batches):
         for b in batches:
-            made = [fn(d, o) for d in b.column("data").to_pylist()]
+            made = [which[e](d.as_py(), o) for e, d in zip(b.column("ext").to_pylist(), b.column("data"))]
             cols = {c: b.column(c) for c in ("rel", "ordinal", "ext", "kind", "orig", "error")}
             cols |= {
                 "new": pa.array([len(m[0]) for m in made], pa.int64()), "method": pa.array([m[1] for m in made], pa.int32()),
@@ -73,26 +71,37 @@ def _media(df: DataFrame, fn, o: Options) -> DataFrame:
     return df.select("rel", "ordinal", "ext", "kind", "orig", "data", "error").mapInArrow(run, schema)
 
 
-def optimize(files: DataFrame, o: Options = Options()) -> DataFrame:
-    """``files(rel, ordinal, data, error)`` -> the optimized table; unreadable files pass with their error."""
-    rel = F.col("rel")
+def has_media(files: DataFrame) -> bool:
+    """True if a file's extension has an optimizer that is a Python function: a scan of the paths alone."""
+    exts = [e for own, exts in registry.by_optimizer().items() if own.media is not None for e in exts]
+    return files.isStreaming or not files.select(paths.extension(F.col("rel")).alias("ext")).filter(F.col("ext").isin(exts)).isEmpty()
+
+
+def optimize(files: DataFrame, o: Options = Options(), media_files: bool | None = None) -> DataFrame:
+    """``files(rel, ordinal, data, error)`` -> the optimized table; unreadable files pass with their error.
+
+    One scan; a second, with a Python stage, only where there are media files (``media_files``: whether there
+    are, looked up if not said).
+    """
+    rel, data, ext = F.col("rel"), F.col("data"), F.col("ext")
     base = files.select("rel", "ordinal", "data", "error", paths.extension(rel).alias("ext"), paths.kind(rel).alias("kind"), F.octet_length("data").cast("long").alias("orig"))
-    readable = base.filter("error is null and data is not null")
-    out = [_finish(base.filter("error is not null or data is null"), F.col("data"), F.lit(""))]
-    taken: list[str] = []
+    readable = F.col("error").isNull() & data.isNotNull()
+    new, note = F.when(~readable, data), F.when(~readable, F.lit(""))
+    by_media: dict = {}
     for own, exts in registry.by_optimizer().items():
-        part = readable.filter(F.col("ext").isin(exts))
-        taken += exts
         if own.media is not None:
-            out.append(_media(part, own.media, o))
-        elif own is SHADER and o.text_minify:
-            quoted = minify.glsl_quoted(F.col("data"))
-            out.append(_finish(part.filter(~quoted), *own.columns(rel, F.col("data"), o)))
-            out.append(_finish(part.filter(quoted), minify.glsl_minify_quoted(F.col("data")), F.lit("")))
+            by_media[own.media] = exts
         else:
-            out.append(_finish(part, *own.columns(rel, F.col("data"), o)))
-    out.append(_finish(readable.filter(~F.col("ext").isin(taken)), F.col("data"), F.lit("")))
-    return reduce(DataFrame.unionByName, out)
+            made, told = own.columns(rel, data, o)
+            new, note = new.when(ext.isin(exts), made), note.when(ext.isin(exts), told)
+    if media_files is None:
+        media_files = has_media(files)
+    if not media_files or not by_media:
+        return _finish(base, new.otherwise(data), note.otherwise(F.lit("")))
+    mine = readable & ext.isin([e for exts in by_media.values() for e in exts])
+    plain = _finish(base.filter(~mine), new.otherwise(data), note.otherwise(F.lit("")))
+    which = {e: fn for fn, exts in by_media.items() for e in exts}
+    return plain.unionByName(_media(base.filter(mine), which, o))
 
 
 def settle_method(optimized: DataFrame, o: Options = Options()) -> DataFrame:
