@@ -2,7 +2,8 @@
 
 Bodies are told apart by method and SHA-256 of their content, the first path owning each.  Offsets are an
 exclusive running sum in path order.  A global running sum has no key, so it is made in two steps: rows are
-range-partitioned by path, each partition sums for itself, and the partition totals (one row each) shift it.
+range-partitioned by path and written with the number of their range, each range sums for itself, and the
+range totals (one row each) shift it.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bundleloom.staging import stage
+
 LOCAL, CENTRAL = 30, 46
 LIMIT = 0xFFFFFFFF
 
@@ -46,7 +49,8 @@ def central_length(rel: Column, uncomp: Column, comp: Column, offset: Column) ->
 def running_offsets(rows: DataFrame, order: list[str], length: str, out: str = "local_offset", parts: int | None = None) -> DataFrame:
     """``rows`` with the exclusive running sum of ``length`` in ``order``, without a single-task window."""
     n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
+    # written once: both uses below see the same ranges, whatever a second sampling would give
+    ranged = stage(rows.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ranges")
     own = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     ranged = ranged.withColumn("_here", F.coalesce(F.sum(length).over(own), F.lit(0)))
     totals = ranged.groupBy("_part").agg(F.sum(length).alias("_sum"))  # one row for each partition

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import logging
 import os
+import sys
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bundleloom.operators import summary
-from bundleloom.operators.optimize import optimize, settle_method
+from bundleloom.operators.optimize import has_media, optimize, settle_method
 from bundleloom.options import Options
+from bundleloom.plans import progress
 from bundleloom.sinks import archive
 from bundleloom.sources import pack
+from bundleloom.staging import scope, stage
 
 log = logging.getLogger("bundleloom")
 
@@ -36,7 +40,8 @@ class PackEngine:
         return files.repartition(self.options.threads) if files.rdd.getNumPartitions() < self.options.threads else files
 
     def optimized(self) -> DataFrame:
-        return settle_method(optimize(self.scan(), self.options), self.options)
+        media_files = has_media(self.index())  # by the index: no payload is read to choose the plan
+        return settle_method(optimize(self.scan(), self.options, media_files), self.options)
 
     def summary(self) -> DataFrame:
         return summary.pack_summary(self.optimized())
@@ -46,13 +51,15 @@ class PackEngine:
 
     def write(self, out: str | None = None) -> dict:
         """Run the build: optimize, report, and write unless it is a dry run.  Unreadable files fail it."""
-        o, out = self.options, out or self.options.out
-        done = self.optimized().persist()
-        try:
+        o, out, began = self.options, out or self.options.out, time.monotonic()
+        bar = progress.wanted(o, sys.stderr)
+        with scope(), progress.shown(self.spark, bar):
+            done = stage(self.optimized(), "optimized")
             if (error := summary.first_error(done).first()[0]) is not None:
                 raise PackError(error)
-            for r in summary.log_rows(done, o).orderBy("rel").toLocalIterator():
-                log.info("%s", r.line)
+            if not bar:
+                for r in summary.log_rows(done, o).orderBy("rel").toLocalIterator():
+                    log.info("%s", r.line)
             for r in summary.notes(done).orderBy("rel").toLocalIterator():
                 log.info("note: %s", r.note)
             totals = summary.pack_summary(done)
@@ -62,7 +69,6 @@ class PackEngine:
                 return result | {"out": None}
             result |= archive.write(done, out, o)
             line = summary.done_line(*(F.col(c) for c in ("files", "optimized", "orig_bytes", "new_bytes")), F.lit(result["dedup_saved"]))
-            log.info("%s", totals.select(line.alias("line")).first().line)
-            return result | {"out": os.path.abspath(out)}
-        finally:
-            done.unpersist()
+            text = totals.select(line.alias("line")).first().line
+        log.info("%s", f"{text} in {time.monotonic() - began:.3f}s" if bar else text)
+        return result | {"out": os.path.abspath(out)}

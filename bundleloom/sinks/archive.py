@@ -12,7 +12,6 @@ import tempfile
 import zlib
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +19,7 @@ from bundleloom.functions.paths import utf8_flag
 from bundleloom.operators import layout
 from bundleloom.options import Options
 from bundleloom.schema import DEFLATE, STORE
+from bundleloom.staging import is_staged, stage
 
 #: 1980-01-01 00:00, read-only DOS attributes.
 DOS_DATE, DOS_TIME, ATTRIBUTES = 0x0021, 0, 1
@@ -47,14 +47,18 @@ def bodies(owners: DataFrame) -> DataFrame:
 
 
 def plan(optimized: DataFrame, o: Options = Options()) -> tuple[DataFrame, DataFrame]:
-    """(bodies with offsets and payloads, directory entries), from ``optimized`` (rel, ordinal, method, data)."""
+    """(bodies with offsets and payloads, directory entries), from ``optimized`` (rel, ordinal, method, data).
+
+    The files are transformed once and the bodies deflated once: both are staged in the shared folder.
+    """
+    if not is_staged(optimized):
+        optimized = stage(optimized.select("rel", "ordinal", "method", "data"), "optimized")
     keyed = optimized.select("rel", "ordinal", "method", layout.content_key(F.col("data")).alias("hash"), "data")
     if o.dedup == "off":
         keyed = keyed.withColumn("hash", F.concat("hash", F.lit("/"), F.col("ordinal").cast("string"), F.lit("/"), "rel"))
     marked = layout.entries(keyed.drop("data"))
     owner = marked.filter("is_owner").select("method", "hash", "rel", "ordinal")
-    made = bodies(keyed.join(owner, ["method", "hash", "rel", "ordinal"]))
-    made = made.persist(StorageLevel.DISK_ONLY)  # deflated once; rebuilt from lineage where an executor is lost
+    made = stage(bodies(keyed.join(owner, ["method", "hash", "rel", "ordinal"])), "bodies")
     length = layout.local_length(F.col("rel"), F.col("uncomp_size"), F.col("comp_size"))
     placed = layout.running_offsets(made.drop("payload").withColumn("rec_len", length), ["rel", "ordinal"], "rec_len")
     body = placed.select("method", "hash", "crc", "uncomp_size", "comp_size", "rec_len", "local_offset")

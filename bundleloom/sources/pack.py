@@ -20,9 +20,9 @@ from bundleloom.schema import PACK_FILES, PACK_INDEX
 PART_BYTES = 32 << 20
 
 
-def list_dir(root: str) -> list[tuple[str, int]]:
+def iter_dir(root: str):
     """(path, size) of the regular files below root, directories with a leading dot left out at any depth."""
-    found, todo = [], [(os.path.abspath(root), "")]
+    todo = [(os.path.abspath(root), "")]
     while todo:
         at, prefix = todo.pop()
         with os.scandir(at) as it:
@@ -31,8 +31,7 @@ def list_dir(root: str) -> list[tuple[str, int]]:
                     if not e.name.startswith("."):
                         todo.append((e.path, f"{prefix}{e.name}/"))
                 elif e.is_file(follow_symlinks=False):
-                    found.append((prefix + e.name, e.stat(follow_symlinks=False).st_size))
-    return found
+                    yield prefix + e.name, e.stat(follow_symlinks=False).st_size
 
 
 def list_zip(path: str) -> list[tuple[str, int, int]]:
@@ -47,10 +46,20 @@ def list_zip(path: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def check(path: str) -> None:
+    """Raise for what isn't a pack with a file in it; a directory is walked only up to its first file."""
+    if os.path.isdir(path):
+        empty = next(iter_dir(path), None) is None
+    else:
+        empty = not listing(path)[1]
+    if empty:
+        raise ValueError(f"{path}: no files")
+
+
 def listing(path: str) -> tuple[bool, list[tuple[str, int, int]]]:
     """(is a ZIP, [(rel, size, ordinal)]) in path order; anything but a directory or a ``.zip`` is an error."""
     if os.path.isdir(path):
-        rows = [(rel, size, -1) for rel, size in list_dir(path)]
+        rows = [(rel, size, -1) for rel, size in iter_dir(path)]
         zipped = False
     elif not os.path.exists(path):
         raise FileNotFoundError(path)
@@ -147,12 +156,12 @@ def register(spark: SparkSession) -> None:
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    listing(path)
+    check(path)
     register(spark)
     return spark.read.format("bundleloom_index").option("path", path).load()
 
 
 def read_pack(spark: SparkSession, path: str) -> DataFrame:
-    listing(path)
+    check(path)
     register(spark)
     return spark.read.format("bundleloom_pack").option("path", path).load()
