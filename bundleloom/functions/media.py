@@ -22,9 +22,15 @@ from bundleloom.functions.report import png_level_text, quality_text
 from bundleloom.options import Options
 from bundleloom.schema import DEFLATE, STORE
 
-# Chunks that change how pixels are shown, and colour profile chunks.
+# Chunks that hold the picture, and those that the safe set keeps beside them.
 SHOWN = {b"IHDR", b"PLTE", b"IDAT", b"IEND", b"tRNS"}
-PROFILE = {b"gAMA", b"iCCP", b"cHRM", b"sRGB"}
+PROFILE = {b"cICP", b"iCCP", b"sRGB", b"pHYs"}
+# Arguments that make the Vorbis tool's output the same at every run.
+OGG_ARGS = ("--quiet", "--remuxer", "ogg2ogg", "--remuxer_option", "randomize_stream_serials=false", "--vendor_string_action", "empty")
+
+
+#: What the palette tool's exits for a result that would be larger or worse look like; not failures.
+TOO_LARGE = ("exit 98", "exit 99")
 
 
 @functools.lru_cache(8)
@@ -162,12 +168,15 @@ def _deflated(raw: bytes, strategy: int) -> bytes:
     return c.compress(raw) + c.flush()
 
 
-def _piped(args: list[str], data: bytes) -> bytes | None:
+def _piped(args: list[str], data: bytes) -> tuple[bytes | None, str]:
+    """(what a tool makes of data, what it says where it fails)."""
     try:
         done = subprocess.run(args, input=data, capture_output=True, timeout=600)
-    except (OSError, subprocess.SubprocessError):
-        return None
-    return done.stdout if done.returncode == 0 else None
+    except (OSError, subprocess.SubprocessError) as e:
+        return None, str(e)
+    if done.returncode == 0:
+        return done.stdout, ""
+    return None, done.stderr.decode("utf-8", "replace").strip() or f"exit {done.returncode}"
 
 
 def png(data: bytes, o: Options) -> tuple[bytes, int, bool, str]:
@@ -182,13 +191,16 @@ def png(data: bytes, o: Options) -> tuple[bytes, int, bool, str]:
             if color == 6 and o.png_protect_alpha and uses_alpha(data):
                 note = "palette pass left out: partly transparent pixels"
             elif exe := tool("pngquant"):
-                got = _piped([exe, f"--quality={quality_text(o.png_quant_min, o.png_quant_max)}", "--skip-if-larger", "--strip", "-"], data)
+                got, said = _piped([exe, f"--quality={quality_text(o.png_quant_min, o.png_quant_max)}", "--skip-if-larger", "--strip", "-"], data)
                 first = got if got and len(got) < len(data) else data
+                if said and said not in TOO_LARGE:
+                    note = f"palette pass failed: {said}"
+            note = note if o.media_notes else ""
         best = first
         if o.png_recompress or o.png_strip_meta:
             if exe := tool("oxipng"):
                 strip = ["--strip", "safe" if o.png_keep_color_profile else "all"] if o.png_strip_meta else []
-                second = _piped([exe, "-o", png_level_text(o.png_level), *strip, "--stdout", "-"], first)
+                second, _ = _piped([exe, "-o", png_level_text(o.png_level), *strip, "--stdout", "-"], first)
             else:
                 second = repack_png(first, o)
             best = second if second and len(second) < len(data) else first
@@ -277,15 +289,11 @@ def ogg(data: bytes, o: Options) -> tuple[bytes, int, bool, str]:
     if not o.ogg_optimize or len(data) < 4 or data[:4] != b"OggS":
         return passed
     if exe := tool("optivorbis"):
-        with tempfile.TemporaryDirectory() as d:
-            src, dst = Path(d, "in.ogg"), Path(d, "out.ogg")
+        with tempfile.TemporaryDirectory() as d:  # the tool goes by the file's extension
+            src = Path(d, "in.ogg")
             src.write_bytes(data)
             comments = "delete" if o.ogg_strip_comments else "copy"
-            try:
-                done = subprocess.run([exe, "--comment_fields_action", comments, "--vendor_string_action", "empty", str(src), str(dst)], capture_output=True, timeout=600)
-                out = dst.read_bytes() if done.returncode == 0 and dst.exists() else b""
-            except (OSError, subprocess.SubprocessError):
-                out = b""
+            out = _piped([exe, *OGG_ARGS, "--comment_fields_action", comments, str(src), "-"], b"")[0] or b""
         return (out, STORE, True, "") if out[:4] == b"OggS" and len(out) < len(data) else passed
     try:
         packets = ogg_packets(data)
@@ -298,4 +306,5 @@ def ogg(data: bytes, o: Options) -> tuple[bytes, int, bool, str]:
         out = ogg_stream(packets)
     except (ValueError, struct.error, IndexError):
         return passed
-    return (out, STORE, True, "") if len(out) < len(data) else passed
+    note = "optivorbis: not on this machine's path; only headers and pages are made smaller"
+    return (out, STORE, True, note) if len(out) < len(data) else (*passed[:3], note)

@@ -81,6 +81,30 @@ def output_name(path: Column, folder: Column, suffix: str = "-optimized.zip") ->
     return F.concat(F.when(F.trim(folder) == "", "").otherwise(F.concat(at, F.lit("/"))), F.when(base == "", "pack").otherwise(base), F.lit(suffix))
 
 
+def tag_name(body: Column) -> Column:
+    """The value of the first ``"tag_name"`` in a release feed's text, its opening quote at most 32 characters on; else empty."""
+    at = F.instr(body, '"tag_name"')
+    rest = F.substring(body, at + 10, F.length(body))
+    value = F.regexp_extract(rest, '(?s)^[^"]{0,32}"([^"]*)"', 1)
+    return F.when((at > 0) & (F.octet_length(rest) >= 10), value).otherwise("")
+
+
+def trim_ends(text: Column) -> Column:
+    """Without blanks and line ends on either side."""
+    return F.trim(text, F.lit(" \t\r\n"))
+
+
+def last_line(text: Column) -> Column:
+    """The last line that isn't empty, without blanks around it."""
+    body = F.rtrim(text, F.lit("\r\n"))
+    return F.trim(F.substring_index(body, "\n", -1), F.lit(" \t\r"))
+
+
+def digits(text: Column) -> Column:
+    """The number that a text of ASCII digits alone stands for; null for any other."""
+    return F.when(text.rlike("^[0-9]+\\z"), text.cast("decimal(38,0)"))
+
+
 # ---- plain forms of the parameter maps, for tool arguments
 
 

@@ -33,6 +33,8 @@ class Options:
     store_policy: str = "deflate_all"
     #: "shared" lets equal files share one body; "off" writes a body for each, for strict readers.
     dedup: str = "shared"
+    #: Notes of the palette pass (left out for transparency, failed); without it they are not told.
+    media_notes: bool = False
 
 
 # Where each setting stands in the YAML file.
