@@ -6,14 +6,22 @@ their id and, where comments or quotes are wanted, text around them; the SQL bui
 
 from __future__ import annotations
 
+import os
+import struct
+import uuid
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bundleloom.functions import minify, paths, report
+from bundleloom.functions import media, minify, paths, report
 from bundleloom.operators import layout, registry, summary
 from bundleloom.operators.optimize import optimize, settle_method
 from bundleloom.options import Options
 from bundleloom.sinks import archive
+from bundleloom.sources import pack
+from bundleloom.staging import scope, shared_dir
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -61,12 +69,11 @@ def json_pack(spark, sf_dir) -> DataFrame:
 
 
 GLSL_SQL = """SELECT 'g/' || conv_id || '-' || turn || '.fsh' AS rel, turn AS ordinal,
- '#version 150 // ' || role || chr(10) || chr(9) || 'void  main() { /* a' || chr(10) || ' b */ ' || replace(replace(coalesce(text, ''), '"', ''), '''', '') || ' }  ' || chr(13) || chr(10) AS data FROM conversations"""
+ '#version 150 // ' || role || chr(10) || chr(9) || 'void  main() { /* a' || chr(10) || ' b */ ' || coalesce(text, '') || ' }  ' || chr(13) || chr(10) AS data FROM conversations"""
 
 
 def glsl_pack(spark, sf_dir) -> DataFrame:
-    text = F.translate(F.coalesce("text", F.lit("")), "\"'", "")
-    data = F.concat(F.lit("#version 150 // "), "role", F.lit("\n\tvoid  main() { /* a\n b */ "), text, F.lit(" }  \r\n"))
+    data = F.concat(F.lit("#version 150 // "), "role", F.lit("\n\tvoid  main() { /* a\n b */ "), F.coalesce("text", F.lit("")), F.lit(" }  \r\n"))
     rel = F.concat(F.lit("g/"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"), F.lit(".fsh"))
     return _t(spark, sf_dir, "conversations").select(rel.alias("rel"), F.col("turn").alias("ordinal"), data.cast("binary").alias("data"), F.lit(None).cast("string").alias("error"))
 
@@ -78,7 +85,10 @@ def _text(c: str = "data"):
 # ---- classification
 
 _EXT_OF = "CASE WHEN instr({0}, '.') = 0 THEN '' ELSE lower('.' || string_split({0}, '.')[-1]) END"
-_KIND_OF = "CASE " + " ".join(f"WHEN {_EXT_OF.format('base')} = '{e}' THEN '{k}'" for e, k in paths.KINDS.items()) + " ELSE 'PASS' END"
+_KINDS = {"PNG": ".png .apng", "OGG": ".ogg .oga", "JSON": ".json .jsonc .mcmeta .mcmetac", "GLSL": ".fsh .vsh .glsl", "LANG": ".lang", "PROP": ".properties"}
+_KIND_OF = "CASE " + " ".join(f"WHEN {_EXT_OF.format('base')} = '{e}' THEN '{k}'" for k, es in _KINDS.items() for e in es.split()) + " ELSE 'PASS' END"
+_REGISTERED = {"json": ".json .jsonc .mcmeta .mcmetac", "png": ".png", "ogg": ".ogg .oga", "shader": ".vsh .fsh .glsl", "lang": ".lang", "properties": ".properties"}
+_ROWS = ", ".join(f"('{e}', '{o}')" for o, es in _REGISTERED.items() for e in es.split())
 
 
 @query(f"""
@@ -93,7 +103,7 @@ def ext_kind(spark, sf_dir):
 
 
 @query(f"""
-WITH r(ext, optimizer) AS (VALUES {", ".join(f"('{e}', '{registry.lookup(e).name}')" for e in registry.extensions())}),
+WITH r(ext, optimizer) AS (VALUES {_ROWS}),
 d AS (SELECT rel, {_EXT_OF.format("rel")} AS ext FROM ({DOCS_SQL}))
 SELECT d.rel, d.ext, coalesce(r.optimizer, 'pass') AS optimizer FROM d LEFT JOIN r ON d.ext = r.ext""")
 def registry_dispatch(spark, sf_dir):
@@ -102,7 +112,7 @@ def registry_dispatch(spark, sf_dir):
     return files.join(F.broadcast(registry.table(spark)), "ext", "left").select("rel", "ext", F.coalesce("optimizer", F.lit("pass")).alias("optimizer"))
 
 
-@query("SELECT unnest([" + ", ".join(f"'{e}'" for e in registry.extensions()) + "]) AS ext")
+@query(f"SELECT ext FROM (VALUES {_ROWS}) AS r(ext, optimizer)")
 def registered_extensions(spark, sf_dir):
     return registry.table(spark).select("ext")
 
@@ -179,12 +189,20 @@ def properties_lines(spark, sf_dir):
     return optimize(_pairs_pack(spark, sf_dir, ".properties")).select("rel", _text().alias("data"))
 
 
+# strings, line comments, block comments, the rest: the white space of strings is set aside, comments go, lines are tidied
+_GLSL_PARTS = r"""(?s)"(?:[^"\\]|\\.)*(?:"|\\?\z)|''(?:[^''\\]|\\.)*(?:''|\\?\z)|//[^\n]*|/\*.*?(?:\*/|\z)|[^"''/]+|/"""
+_BLANKS, _ASIDE = "' ' || chr(9) || chr(13) || chr(10)", "chr(57344) || chr(57345) || chr(57346) || chr(57347)"
+_GLSL = f"""array_to_string([CASE WHEN x[1] IN ('"', '''') THEN translate(x, {_BLANKS}, {_ASIDE}) WHEN x[1:2] = '//' THEN ''
+ WHEN x[1:2] = '/*' THEN CASE WHEN contains(CASE WHEN x LIKE '%*/' AND length(x) >= 4 THEN x ELSE left(x, greatest(length(x) - 1, 2)) END, chr(10)) THEN chr(10) ELSE '' END ELSE x END
+ FOR x IN regexp_extract_all(data, '{_GLSL_PARTS}')], '')"""
+
+
 def _glsl_sql() -> str:
-    out = f"regexp_replace(data, '{minify.GLSL_COMMENTS}', '\\1', 'g')"
-    for pattern, to in minify.GLSL_SPACE:
-        to = {"": "''", " ": "' '", "\n": "chr(10)"}[to]
+    out = _GLSL
+    for pattern, to in ((r"[ \t\r]+", "' '"), (r"\n[ \n]*", "chr(10)"), (r"\A[ \n]+", "''")):
         out = f"regexp_replace({out}, '{pattern}', {to}, 'g')"
-    return out
+    out = f"translate({out}, {_ASIDE}, {_BLANKS})"
+    return f"regexp_replace(regexp_replace({out}, ' ?\\z', ''), '\\n?\\z', '')"
 
 
 @query(f"SELECT rel, {_glsl_sql()} AS data FROM ({GLSL_SQL})")
@@ -192,10 +210,14 @@ def glsl_minify(spark, sf_dir):
     return optimize(glsl_pack(spark, sf_dir)).select("rel", _text().alias("data"))
 
 
-@query()
+_QUOTED = """'"a // b" /* c */ ''q /* " ' || chr(10) || ' ''' || data || CASE WHEN ordinal % 2 = 0 THEN '"open  ' ELSE '/* open' || chr(10) END"""
+
+
+@query(f"SELECT rel, {_glsl_sql()} AS data FROM (SELECT rel, {_QUOTED} AS data FROM ({GLSL_SQL}))")
 def glsl_quoted(spark, sf_dir):
-    """Shaders with quotes: the state machine's route (checked against its plain form in the tests)."""
-    files = glsl_pack(spark, sf_dir).withColumn("data", F.concat(F.lit(b'"a // b" /* c */ '), "data"))
+    """Shaders with strings in both quotes, comment marks inside them, and ends that are left open."""
+    head, tail = F.lit("\"a // b\" /* c */ 'q /* \" \n '"), F.when(F.col("ordinal") % 2 == 0, '"open  ').otherwise("/* open\n")
+    files = glsl_pack(spark, sf_dir).withColumn("data", F.concat(head, _text(), tail).cast("binary"))
     return optimize(files).select("rel", _text().alias("data"))
 
 
@@ -335,6 +357,125 @@ def first_error(spark, sf_dir):
     return summary.first_error(optimize(files))
 
 
+@query("""WITH t AS (SELECT o_orderkey, ' x' || chr(10) || '{"tag_name": "v' || o_orderkey || '.' || o_orderkey % 7 || '" , "n": 1}' || chr(13) || chr(10) || chr(10) AS body FROM orders)
+SELECT o_orderkey, 'v' || o_orderkey || '.' || o_orderkey % 7 AS tag, '{"tag_name": "v' || o_orderkey || '.' || o_orderkey % 7 || '" , "n": 1}' AS last, strlen(trim(body, ' ' || chr(13) || chr(10))) AS trimmed,
+ CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END AS number FROM t""")
+def text_helpers(spark, sf_dir):
+    """Tag of a release feed, last line, trimmed text, number in digits."""
+    k = F.col("o_orderkey").cast("string")
+    body = F.concat(F.lit(' x\n{"tag_name": "v'), k, F.lit("."), (F.col("o_orderkey") % 7).cast("string"), F.lit('" , "n": 1}\r\n\n'))
+    number = report.digits(F.when(F.col("o_orderkey") % 3 == 0, k).otherwise(F.concat(k, F.lit(" "))))
+    trimmed = F.octet_length(report.trim_ends(body))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", report.tag_name(body).alias("tag"), report.last_line(body).alias("last"), trimmed.cast("long").alias("trimmed"), number.cast("long").alias("number"))
+
+
+# ---- packs on disk: written from a table, read by the pack sources
+
+
+def _folder(spark, name: str) -> str:
+    """A fresh folder of the shared one, which the driver and all tasks must see as a local path."""
+    root = shared_dir(spark)
+    if "://" in root and not root.startswith("file://"):
+        raise ValueError("packs are read from a file system that all machines mount")
+    return os.path.join(root.removeprefix("file://"), f"{name}-{uuid.uuid4().hex}")
+
+
+_OPT_DOCS = f"""SELECT rel, CASE {_EXT_OF.format("rel")} WHEN '.json' THEN {_JSON_ALL} WHEN '.jsonc' THEN {_JSON_ALL}
+ WHEN '.lang' THEN {_lines_sql("#")} WHEN '.properties' THEN {_lines_sql("#!")} ELSE data END AS data FROM ({DOCS_SQL})"""
+
+
+@query(f"SELECT rel, row_number() OVER (ORDER BY rel) - 1 AS place, data, strlen(data) AS size FROM ({_OPT_DOCS})")
+def archive_roundtrip(spark, sf_dir):
+    """A pack is optimized and written as an archive; the archive is read back by the pack source."""
+    path = _folder(spark, "roundtrip") + ".zip"
+    with scope():
+        archive.write(settle_method(optimize(docs_pack(spark, sf_dir))), path, Options(dedup="off"))
+    return pack.read_pack(spark, path).select("rel", F.col("ordinal").alias("place"), _text().alias("data"), "size")
+
+
+_TREE = (("a/%s.json", True), ("_u/%s.bin", True), (".dot%s", True), ("b/c/.h/%s.json", False), (".git/%s", False), ("b/.x/y/%s", False), ("é/%s.TXT", True))
+_TREE_SQL = " UNION ALL ".join(f"SELECT replace('{p}', '%s', CAST(n_nationkey AS VARCHAR)) AS rel, n_name AS data FROM nation" for p, seen in _TREE if seen)
+
+
+@query(f"SELECT rel, strlen(data) AS size, row_number() OVER (ORDER BY rel) - 1 AS ordinal, data FROM ({_TREE_SQL})")
+def directory_scan(spark, sf_dir):
+    """A directory read by both sources, index and files: hidden directories and links left out, dot files kept."""
+    root = _folder(spark, "tree")
+    for r in _t(spark, sf_dir, "nation").collect():  # a few files, so that there is a directory to read
+        for p, _ in _TREE:
+            at = os.path.join(root, p % r.n_nationkey)
+            os.makedirs(os.path.dirname(at), exist_ok=True)
+            with open(at, "w", encoding="utf-8") as f:
+                f.write(r.n_name)
+    os.symlink(os.path.join(root, "a"), os.path.join(root, "link"))
+    os.symlink(os.path.join(root, "a/0.json"), os.path.join(root, "a/link.json"))
+    files = pack.read_pack(spark, root).select("rel", _text().alias("data"))
+    return pack.read_index(spark, root).join(files, "rel").select("rel", "size", "ordinal", "data")
+
+
+# ---- media: made from table values by Arrow functions, then optimized like any pack
+
+
+def _made(df: DataFrame, ext: str, fn) -> DataFrame:
+    """A pack of files that ``fn(key)`` makes for each key."""
+
+    def run(batches):
+        for b in batches:
+            keys = b.column(0).to_pylist()
+            data = pa.array([fn(k) for k in keys], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([f"m/{k}{ext}" for k in keys]), b.column(0), data, pa.nulls(len(keys), pa.string())], ["rel", "ordinal", "data", "error"])
+
+    return df.mapInArrow(run, "rel string, ordinal bigint, data binary, error string")
+
+
+def _png_of(k: int) -> bytes:
+    """Two by two RGBA pixels from k; a text chunk, a chunk of the safe set, and for every fifth a control chunk of animation."""
+    chunk = lambda t, b: struct.pack(">I", len(b)) + t + b + struct.pack(">I", zlib.crc32(t + b))
+    pixels = [(k % 251, i, 7, (255, 0, k % 256, 255)[i]) for i in range(4)]
+    lines = b"".join(b"\0" + bytes(v for p in pixels[y : y + 2] for v in p) for y in (0, 2))
+    extra = chunk(b"pHYs", bytes(9)) + chunk(b"tEXt", b"k\0" + b"v" * 300) + (chunk(b"acTL", bytes(8)) if k % 5 == 0 else b"")
+    return paths.PNG_SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", 2, 2, 8, 6, 0, 0, 0)) + extra + chunk(b"IDAT", zlib.compress(lines, 0)) + chunk(b"IEND", b"")
+
+
+@query("""SELECT p_partkey, p_partkey % 5 <> 0 AS changed, p_partkey % 256 NOT IN (0, 255) AS uses_alpha,
+ CASE WHEN p_partkey % 5 = 0 THEN 'IHDR,pHYs,tEXt,acTL,IDAT,IEND' ELSE 'IHDR,pHYs,IDAT,IEND' END AS chunks,
+ lower(string_agg(printf('%02X%02X07%02X', p_partkey % 251, i, CASE i WHEN 1 THEN 0 WHEN 2 THEN p_partkey % 256 ELSE 255 END), '' ORDER BY i)) AS pixels
+FROM part, (SELECT unnest([0, 1, 2, 3]) AS i) GROUP BY p_partkey""")
+def png_optimize(spark, sf_dir):
+    """Lossless pass: pixels stay, chunks outside the safe set go, animations pass; the alpha test beside it."""
+    files = _made(_t(spark, sf_dir, "part").select("p_partkey"), ".png", _png_of)
+    done = optimize(files, Options(png_lossy=False, png_keep_color_profile=True), media_files=True)
+
+    def look(batches):
+        for b in batches:
+            found = [(media.uses_alpha(d), ",".join(t.decode() for t, _ in media.chunks(d)), media.samples(d)[2].tobytes().hex()) for d in b.column("data").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("ordinal"), b.column("changed"), *map(pa.array, zip(*found))], ["p_partkey", "changed", "uses_alpha", "chunks", "pixels"])
+
+    return done.select("ordinal", "changed", "data").mapInArrow(look, "p_partkey bigint, changed boolean, uses_alpha boolean, chunks string, pixels string")
+
+
+def _ogg_of(k: int) -> bytes:
+    """Headers with a vendor and a comment, and audio packets from k; every fourth isn't Ogg."""
+    comment = b"\x03vorbis" + struct.pack("<I", 9) + b"encoder x" + struct.pack("<I", 1) + struct.pack("<I", 8) + b"title=%02d" % (k % 100) + b"\x01"
+    packets = [(2, 0, b"\x01vorbis" + bytes(23)), (0, 0, comment), (0, 0, b"\x05vorbis" + bytes(600)), (0, 64, bytes([k % 256]) * 300), (4, 128, b"%d" % k)]
+    return media.ogg_stream(packets, 77) if k % 4 else b"Riff%d" % k
+
+
+@query("""SELECT p_partkey, p_partkey % 4 <> 0 AS changed, CASE WHEN p_partkey % 4 <> 0 THEN '03766f72626973000000000000000001' END AS comment,
+ CASE WHEN p_partkey % 4 <> 0 THEN repeat(lower(printf('%02X', p_partkey % 256)), 300) || lower(hex(CAST(p_partkey AS VARCHAR))) END AS audio FROM part""")
+def ogg_optimize(spark, sf_dir):
+    """Container pass: vendor and comments emptied, packets of audio as they were; other files pass."""
+    done = optimize(_made(_t(spark, sf_dir, "part").select("p_partkey"), ".ogg", _ogg_of), media_files=True)
+
+    def look(batches):
+        for b in batches:
+            found = [[p for _, _, p in media.ogg_packets(d)] if d[:4] == b"OggS" else None for d in b.column("data").to_pylist()]
+            comment, audio = [f and f[1].hex() for f in found], [f and b"".join(f[3:]).hex() for f in found]
+            yield pa.RecordBatch.from_arrays([b.column("ordinal"), b.column("changed"), pa.array(comment, pa.string()), pa.array(audio, pa.string())], ["p_partkey", "changed", "comment", "audio"])
+
+    return done.select("ordinal", "changed", "data").mapInArrow(look, "p_partkey bigint, changed boolean, comment string, audio string")
+
+
 # ---- bytes that SQL can't make
 
 
