@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bundleloom.llm.common import map_rows, per_batch, seeded
+from bundleloom.llm.common import give_back, map_rows, per_batch, seeded
 
 BUCKETS = 1 << 20
 THRESHOLD = 0.7
@@ -85,21 +85,20 @@ def fit(positive: list, unlabelled: list, prior: float, steps: int = 400, rate:
     if not positive or not unlabelled:
         return Model({}, None)
     lens = np.array([len(x) for x in positive] + [len(x) for x in unlabelled])
-    flat = np.concatenate([np.asarray(x, dtype=np.int64) for x in [*positive, *unlabelled]])
-    row = np.repeat(np.arange(len(lens)), lens)
+    flat = np.concatenate([np.asarray(x, dtype=np.int32) for x in [*positive, *unlabelled]])
     n_p, n_u = len(positive), len(unlabelled)
-    in_p = np.bincount(flat[row < n_p], minlength=BUCKETS)
-    in_u = np.bincount(flat[row >= n_p], minlength=BUCKETS)
-    rate_p, rate_u = in_p / n_p, in_u / n_u
+    cut = int(lens[:n_p].sum())
+    in_p, in_u = np.bincount(flat[:cut], minlength=BUCKETS), np.bincount(flat[cut:], minlength=BUCKETS)
+    best = np.flatnonzero(in_p + in_u >= 4)
+    in_p, in_u = in_p[best], in_u[best]
     mean = (in_p + in_u) / (n_p + n_u)
     spread = np.sqrt(mean * (1 - mean) * (1 / n_p + 1 / n_u)) + 1e-12
-    z = np.abs(rate_p - rate_u) / spread
-    z[in_p + in_u < 4] = 0
-    best = np.flatnonzero(z > 4)
-    place = np.full(BUCKETS, -1)
+    best = best[np.abs(in_p / n_p - in_u / n_u) / spread > 4]
+    place = np.full(BUCKETS, -1, dtype=np.int32)
     place[best] = np.arange(len(best))
-    used = place[flat] >= 0
-    row, col = row[used], place[flat[used]]
+    row, col = np.repeat(np.arange(len(lens), dtype=np.int32), lens), place[flat]
+    row, col = row[col >= 0], col[col >= 0]
+    del flat, place
     w, bias = np.zeros(len(best)), float(np.log(prior / (1 - prior)))
     moment, second = np.zeros(len(best) + 1), np.zeros(len(best) + 1)
 
@@ -154,11 +153,14 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unla
         return pa.RecordBatch.from_arrays([ps, pa.array(rows, pa.list_(pa.int32()))], ["p", "buckets"])
 
     got = texts.join(chosen, "id").select("p", "text").mapInArrow(per_batch(batch), "p int, buckets array<int>").toArrow()
-    sides = {1: [], 0: []}
+    sides: dict = {1: [], 0: []}
     for p, b in zip(got["p"].to_pylist(), got["buckets"]):
         sides[p].append(b.values.to_numpy())
-    order = lambda x: sorted(x, key=lambda a: (len(a), a.tobytes()))  # noqa: E731  so that reruns agree
-    return fit(order(sides[1]), order(sides[0]), prior)
+    order = lambda x: sorted(x, key=lambda a: (len(a), xxhash.xxh64_intdigest(a)))  # noqa: E731  so that reruns agree
+    model = fit(order(sides[1]), order(sides[0]), prior)
+    del got, sides
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
