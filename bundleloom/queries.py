@@ -21,7 +21,7 @@ from bundleloom.operators.optimize import optimize, settle_method
 from bundleloom.options import Options
 from bundleloom.sinks import archive
 from bundleloom.sources import pack
-from bundleloom.staging import scope, shared_dir
+from bundleloom.staging import scope, shared_dir, track
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -377,7 +377,7 @@ def _folder(spark, name: str) -> str:
     root = shared_dir(spark)
     if "://" in root and not root.startswith("file://"):
         raise ValueError("packs are read from a file system that all machines mount")
-    return os.path.join(root.removeprefix("file://"), f"{name}-{uuid.uuid4().hex}")
+    return track(spark, f"file://{root.removeprefix('file://')}/{name}-{uuid.uuid4().hex}").removeprefix("file://")
 
 
 _OPT_DOCS = f"""SELECT rel, CASE {_EXT_OF.format("rel")} WHEN '.json' THEN {_JSON_ALL} WHEN '.jsonc' THEN {_JSON_ALL}
@@ -387,7 +387,9 @@ _OPT_DOCS = f"""SELECT rel, CASE {_EXT_OF.format("rel")} WHEN '.json' THEN {_JSO
 @query(f"SELECT rel, row_number() OVER (ORDER BY rel) - 1 AS place, data, strlen(data) AS size FROM ({_OPT_DOCS})")
 def archive_roundtrip(spark, sf_dir):
     """A pack is optimized and written as an archive; the archive is read back by the pack source."""
-    path = _folder(spark, "roundtrip") + ".zip"
+    folder = _folder(spark, "roundtrip")
+    os.makedirs(folder)
+    path = os.path.join(folder, "pack.zip")
     with scope():
         archive.write(settle_method(optimize(docs_pack(spark, sf_dir))), path, Options(dedup="off"))
     return pack.read_pack(spark, path).select("rel", F.col("ordinal").alias("place"), _text().alias("data"), "size")

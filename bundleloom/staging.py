@@ -48,6 +48,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def track(spark: SparkSession, path: str) -> str:
+    """Have a path removed with the staged tables, at the latest when the driver's Python ends."""
+    _live[path] = spark
+    return path
+
+
 def is_staged(df: DataFrame) -> bool:
     return hasattr(df, "_staged_at")
 
