@@ -80,7 +80,7 @@ class Model:
         self.seen = {}
 
 
-def fit(positive: list, unlabelled: list, prior: float, steps: int = 400, rate: float = 0.1, decay: float = 3e-4) -> Model:
+def fit(positive: list, unlabelled: list, prior: float, steps: int = 400, rate: float = 0.1, decay: float = 3e-5) -> Model:
     """Train from the buckets of each sampled text (lists of integer arrays)."""
     if not positive or not unlabelled:
         return Model({}, None)
