@@ -1,59 +1,17 @@
-"""Shared pieces: staging tables in the cluster's shared folder, seeded ranks, connected components."""
+"""Shared pieces: texts and rows some MB at a time, seeded ranks, connected components."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a private one is set only where that is unset (tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="bundleloom-stage-")
-        spark.sparkContext._conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a staged table through Hadoop's file system, so any store works."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
-
-    The files are removed when the driver's Python ends, or earlier through :func:`unstage`.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_quietly_drop, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_at = path
-    return out
-
-
-def _quietly_drop(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is not None:
-        drop_path(spark, path)
-
-
-def unstage(*frames: DataFrame) -> None:
-    """Remove staged tables that no later result reads."""
-    for df in frames:
-        drop_path(df.sparkSession, df._staged_at)
+from bundleloom.staging import stage, unstage
 
 
 def text_slices(batch: pa.RecordBatch, most: int = 4_000_000, column: int = 1) -> Iterator[tuple[pa.RecordBatch, list]]:

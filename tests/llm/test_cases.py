@@ -229,3 +229,33 @@ def test_toxicity_and_private_stages_against_plain_versions(spark, sf_dir):
     for r in stages["mixing"](spark, base, sf_dir).collect():
         mixed[r.doc_id] = mixed.get(r.doc_id, 0) + 1
     assert mixed == {r.doc_id: r.copies for r in mixing.mix(base).collect() if r.copies}
+
+
+# ---------------------------------------------------------------- odd rows
+
+
+def test_substring_of_long_texts_and_null_ids(spark):
+    from tests.llm.test_group_ops import plain_removal
+
+    from bundleloom.llm import substring
+
+    rng = random.Random(9)
+    long = [f"w{rng.randrange(50_000)}" for _ in range(120_000)]
+    rows = [(3, " ".join(long)), (1, " ".join(long[50_000:50_400])), (None, " ".join(long[7_000:7_100])), (None, " ".join(long[9_000:9_030])), (None, None), (2, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOC)
+    got = sorted((math.inf if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.digest(df.repartition(3)).collect())
+    assert got == plain_removal(rows) and [r[2] for r in got] == [0, 0, 400, 0, 30, 100]
+
+
+def test_repeated_and_null_rows(spark):
+    from bundleloom.llm import pii
+
+    df = spark.createDataFrame([(None, "a@b.co", "en", None, 1), (5, "a@b.co", "en", "s", 1), (5, "a@b.co", "en", "s", 1), (None, "Released under the MIT License.", "en", None, 1)], DOC)
+    assert sorted((r.doc_id or 0, r.n_email) for r in pii.digest(df).collect()) == [(0, 0), (0, 1), (5, 1), (5, 1)]
+    assert sorted((r.doc_id or 0, r.n_found) for r in license.digest(df).collect()) == [(0, 0), (0, 1), (5, 0), (5, 0)]
+    assert sorted((r.doc_id or 0, r.copies) for r in mixing.mix(df).collect())[2:] in ([(5, 1), (5, 1)], [(5, 1), (5, 2)], [(5, 2), (5, 2)])
+    labels = spark.createDataFrame([(5, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    scores = {(r.doc_id, r.score) for r in toxicity.judge(df.filter("doc_id = 5"), labels).collect()}
+    assert len(scores) == 1
+    pages = spark.createDataFrame([(1, "http://a.org/fr/x"), (1, "http://a.org/fr/x"), (None, None)], "page_id long, url string")
+    assert sorted((r.page_id or 0, r.rule) for r in urlfilter.judge(pages).collect() if r.page_id) == [(1, "org/fr/")] * 2
