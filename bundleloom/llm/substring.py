@@ -2,8 +2,8 @@
 
 Recompression rounds give every document a shorter sequence of symbols.  A round first renames each
 maximal run of one symbol, then each adjacent pair whose left symbol falls in one half of the alphabet
-and whose right symbol falls in the other.  Names are hashes of what they stand for, so every task gives
-equal runs and pairs the same name and equal substrings get the same interior symbols.  Each symbol also
+and whose right symbol falls in the other.  Names are hashes of what they stand for, in place of a dictionary that
+Spark rounds would keep for the whole corpus: each map task names by itself, and all give equal runs and pairs the same name and equal substrings get the same interior symbols.  Each symbol also
 carries the stretch of words that settles it.  A window's symbol is one of those settled inside it, the one
 whose stretch has the smallest hash, or the window itself where there is none: equal windows have equal symbols.
 
@@ -12,7 +12,7 @@ At a high level each few neighbouring symbols are exchanged by 128-bit name: whe
 all windows inside do too, which settles copies and long passages with a row for some tens of words.
 Round 2 (Spark): only other windows under a shared symbol are compared, by 128-bit hashes of their words, and
 the first of each, by document and start, is left alone.  Names and hashes travel as packed arrays, one
-row for each pair of map and reduce task; each map task combines its own repeats first, so a passage that
+row for each pair of map and reduce task with something to tell; each map task combines its own repeats first, so a passage that
 a third of all documents share is sent once by each task.  Round 3 removes words and digests the rest.
 
 Defined cases: windows are ordered by (doc_id, start) alone, null ids last as one id, so repeated rows (same
@@ -266,17 +266,19 @@ def _owned(prefix: str) -> tuple[str, str, str]:
     return f"{prefix}_id", f"{prefix}_th", f"{prefix}_n"
 
 
-def _sent(buckets: int, names: tuple, ids: np.ndarray, ths: np.ndarray, parts: list) -> pa.RecordBatch:
-    """One row for each bucket.  A part is (bucket of each place, row of each place, prefix, (column, array), ...)."""
-    cells: dict[str, list] = {c: [b""] * buckets for c in names[1:]}
+def _sent(names: tuple, ids: np.ndarray, ths: np.ndarray, parts: list) -> pa.RecordBatch:
+    """One row for each bucket that gets something.  A part is (bucket of each place, row of each place, prefix, (column, array), ...)."""
+    some = np.unique(np.concatenate([to for to, *_ in parts]))
+    cells: dict[str, list] = {c: [b""] * len(some) for c in names[1:]}
     for to, doc, prefix, *columns in parts:
+        to = np.searchsorted(some, to)
         order = np.lexsort((doc, to))
         to, doc = to[order], doc[order]
-        cut = np.searchsorted(to, np.arange(buckets + 1))
+        cut = np.searchsorted(to, np.arange(len(some) + 1))
         used = np.flatnonzero(np.diff(cut))
         head = np.flatnonzero(np.append(True, (to[1:] != to[:-1]) | (doc[1:] != doc[:-1]))) if len(to) else np.zeros(0, np.int64)
         of, size = doc[head], np.diff(np.append(head, len(to))).astype(np.int32)
-        edge = np.searchsorted(to[head], np.arange(buckets + 1)) if len(to) else cut
+        edge = np.searchsorted(to[head], np.arange(len(some) + 1)) if len(to) else cut
         for name, array in zip(_owned(prefix), (ids[of], ths[of], size)):
             for b in used:
                 cells[name][b] += array[edge[b] : edge[b + 1]].tobytes()
@@ -284,7 +286,7 @@ def _sent(buckets: int, names: tuple, ids: np.ndarray, ths: np.ndarray, parts: l
             array = array[order]
             for b in used:
                 cells[name][b] += array[cut[b] : cut[b + 1]].tobytes()
-    return pa.RecordBatch.from_arrays([pa.array(np.arange(buckets, dtype=np.int32)), *(pa.array(cells[c], pa.binary()) for c in names[1:])], list(names))
+    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(cells[c], pa.binary()) for c in names[1:])], list(names))
 
 
 def _schema(names: tuple) -> str:
@@ -313,15 +315,15 @@ def _keys(ids: np.ndarray, ths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _told(buckets: int, names: tuple, parts: list) -> pa.Table:
-    """Answers dealt by the hash of their document's id; a part is (prefix, column, values, ids, text hashes)."""
+    """Answers dealt by the hash of their document's id and text; a part is (prefix, column, values, ids, text hashes)."""
     sent, all_ids, all_ths, base = [], [], [], 0
     for prefix, column, values, ids, ths in parts:
         i, th, at = _keys(ids, ths)
-        sent.append((_bucket(_mixed(i), buckets)[at], at + base, prefix, (column, values)))
+        sent.append((_bucket(_mixed(i, th), buckets)[at], at + base, prefix, (column, values)))
         all_ids.append(i)
         all_ths.append(th)
         base += len(i)
-    return pa.Table.from_batches([_sent(buckets, names, np.concatenate(all_ids), np.concatenate(all_ths), sent)])
+    return pa.Table.from_batches([_sent(names, np.concatenate(all_ids), np.concatenate(all_ths), sent)])
 
 
 def _assembled(parts: list):
@@ -357,8 +359,9 @@ def _span(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return start.astype(np.int64) << 32 | length.astype(np.int64)
 
 
-def _mixed(ids: np.ndarray) -> np.ndarray:
-    return mix(ids.astype(np.uint64), np.full(1, 3, np.uint64))
+def _mixed(ids: np.ndarray, ths: np.ndarray) -> np.ndarray:
+    """A hash of id and text, so that many texts of one id (null ids are one) are dealt apart."""
+    return mix(ids.astype(np.uint64), ths.astype(np.uint64))
 
 
 def shared_symbols(docs: DataFrame, buckets: int, window: int, levels: int) -> DataFrame:
@@ -391,13 +394,13 @@ def shared_symbols(docs: DataFrame, buckets: int, window: int, levels: int) -> D
             several = ~(first & np.append(first[1:], True)) | np.isin(s, multi)  # of several documents or places here
             kind = np.where(several[first], SEVERAL, ALONE).astype(np.uint8)
             own, answer = d[first], d[several]
-            places, told = np.append(own, answer), _bucket(_mixed(ids[answer]), buckets)
+            places, told = np.append(own, answer), _bucket(_mixed(ids[answer], ths[answer]), buckets)
             parts = [
                 (np.append(_bucket(s[first], buckets), told), places, "s", ("names", np.append(s[first], s[several])), ("kinds", np.append(kind, np.full(len(answer), ANSWER, np.uint8)))),
                 (_bucket(h1[head], buckets), of[head], "p", ("h1", h1[head]), ("h2", h2[head]), ("spans", spans[head])),
-                (_bucket(_mixed(ids[of[late]]), buckets), of[late], "q", ("done", spans[late])),
+                (_bucket(_mixed(ids[of[late]], ths[of[late]]), buckets), of[late], "q", ("done", spans[late])),
             ]
-            yield _sent(buckets, FIRST, ids, ths, parts)
+            yield _sent(FIRST, ids, ths, parts)
 
     def meet(t: pa.Table) -> pa.Table:
         names, kinds, (ids, ths) = _unpacked(t["names"], np.uint64), _unpacked(t["kinds"], np.uint8), _owners(t, "s")
@@ -463,9 +466,9 @@ def later_windows(docs: DataFrame, symbols: DataFrame, buckets: int, window: int
             late, head = _later(h1, h2, ids[doc], start)
             parts = [
                 (_bucket(h1[head], buckets), doc[head], "w", ("h1", h1[head]), ("h2", h2[head]), ("starts", start[head])),
-                (_bucket(_mixed(ids[doc[late]]), buckets), doc[late], "q", ("done", start[late])),
+                (_bucket(_mixed(ids[doc[late]], ths[doc[late]]), buckets), doc[late], "q", ("done", start[late])),
             ]
-            yield _sent(buckets, SECOND, ids, ths, parts)
+            yield _sent(SECOND, ids, ths, parts)
 
     def meet(t: pa.Table) -> pa.Table:
         h1, h2, start, (ids, ths) = _unpacked(t["h1"], np.uint64), _unpacked(t["h2"], np.uint64), _unpacked(t["starts"], np.int32), _owners(t, "w")
