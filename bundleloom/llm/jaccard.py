@@ -1,19 +1,20 @@
 """Exact near-duplicates: documents whose sets of word shingles have a Jaccard similarity of 0.8 or more.
 
-The SimHash operator at a similarity: bit-sliced fingerprints screen the pairs, exact intersections decide.
-Sets are XXH64 of the shingles SimHash uses, made from whole texts; equal sets are one class.  Linked pairs lie
-some ten of 64 bits apart, and up to 17 were seen, so fingerprint buckets can't propose them.  Candidates come
-from the shingles, and no pair that is similar enough is left out:
+The SimHash operator at a similarity: fingerprints propose the pairs, exact intersections decide.
+Sets are XXH64 of the shingles SimHash uses, made from whole texts; equal sets are one class.
 
 * a set of s shingles needs ceil(0.8 s) of them in some other set.  Hashes are dealt out by value, packed by
   slice and bucket; each bucket tells the slices how many of a set's shingles it has seen elsewhere, and
   most sets drop out.  Shingles that repeat within a slice are settled there and sent once.
-* under one order of all shingles, two similar sets share one of their first s - ceil(0.8 s) + 1.  Common
-  shingles, known from a sample of bounded size, come last; the order changes the work, never the result.
-* sets that share such shingles, directly or through others, meet whole in one task, large groups chunk by
-  chunk in tasks of their own.  There the bit planes of their fingerprints are compared, all rows with the rows
-  d places on; pairs within ``REACH`` bits that are not joined yet are intersected.  Unrelated pairs lie 32 bits
-  apart on average, and one of similarity 0.8 beyond ``REACH`` has a chance below 2e-8.  Tasks return spanning forests.
+* of the rest, the SimHash search (:func:`simhash.near`) compares each fingerprint with all others, bit plane by
+  bit plane.  Linked pairs lie some ten of 64 bits apart, and up to 17 were seen, too far for buckets and for
+  64 bits to tell from unrelated pairs; so the fingerprints have 384, and a radius that leaves out a pair of
+  similarity 0.8 with a chance of at most 3e-9.
+* what the search joins, directly or through others, meets whole in one task, large groups chunk by chunk in tasks
+  of their own.  There the planes are compared once more, and pairs within the radius that are not joined yet are
+  intersected.  Tasks return spanning forests.
+
+The driver gets counts and checksums only, no sets and no sample of them.
 
 Defined cases: null or empty texts have the empty set, all one class; texts of fewer words than a shingle
 are hashed whole; rows without an id take no part and are kept.
@@ -27,18 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bundleloom.llm.common import connected_components, give_back, seeded, stage, text_slices
-from bundleloom.llm.simhash import SEED, hooked, keep_lowest, majority, shingle_hashes
+from bundleloom.llm.common import connected_components, give_back, stage, text_slices
+from bundleloom.llm.simhash import FIRST, RADIUS_WIDE, SEED, WORDS, apart, chunk_pairs, hooked, keep_lowest, near, shingle_hashes, wide
 
 #: Hashes of one bucket, sets of one chunk, and sets one comparing task holds, about.
 BUCKET = 1_500_000
 CHUNK = 2048
 TASK_SETS = 2048
-#: Sets sampled for the common shingles, and how many of these are told to every task at most.
+#: Not read any more: nothing is sampled for the driver.  Callers may still set it.
 SAMPLE = 4_000
-COMMON = 100_000
-#: Bits by which fingerprints of candidates may differ; the rest are left without a look at their sets.
-REACH = 31
 
 
 def needed(n: np.ndarray) -> np.ndarray:
@@ -166,45 +164,23 @@ def _sets(width: int):
         for b in batches:
             for _, texts in text_slices(b):
                 each = [s for t in texts if len(s := shingle_set(t, width))]
-                yield pa.RecordBatch.from_arrays([pa.array([key_of(s) for s in each], pa.int64()), pa.array([s.tobytes() for s in each], pa.binary())], ["key", "hashes"])
+                if each:
+                    fps = wide(np.concatenate(each), np.array([len(s) for s in each], np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array([key_of(s) for s in each], pa.int64()), pa.array([f.tobytes() for f in fps], pa.binary()), pa.array([s.tobytes() for s in each], pa.binary())], ["key", "fp", "hashes"])
         give_back()
 
     return run
 
 
-def _prefixes(common: np.ndarray, seldom: np.ndarray):
-    """common: ascending hashes; seldom: their places in the order, rarest first."""
-
-    def run(batches):
-        for b in batches:
-            keys, tokens = [], []
-            for key, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s = np.frombuffer(data, np.uint64)
-                order = np.zeros(len(s), np.int64)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                    order = np.where(common[at] == s, seldom[at] + 1, 0)
-                s = s[np.argsort(order, kind="stable")][: len(s) - int(needed(len(s))) + 1]
-                keys.append(np.full(len(s), key, np.int64))
-                tokens.append(s.view(np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(tokens))], ["key", "token"])
-
-    return run
-
-
-def link_sets(sets: list, bucket: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links, as places, of the sets of one bucket at Jaccard 0.8 or more; side as for fingerprints."""
+def link_sets(sets: list, fps: np.ndarray, bucket: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links, as places, of the sets of one bucket at Jaccard 0.8 or more; fps are wide, side as for fingerprints."""
     size = np.array([len(s) for s in sets], np.int64)
     end = np.cumsum(size)
-    whole = np.concatenate(sets)
-    fps = majority(whole, size)
-    values, flat = np.unique(whole, return_inverse=True)
-    del whole
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
     mark = np.zeros(len(values), bool)
 
     def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        ok = (5 * np.minimum(size[a], size[b]) >= 4 * np.maximum(size[a], size[b])).copy()
+        ok = (apart(fps[a], fps[b]) <= RADIUS_WIDE) & (5 * np.minimum(size[a], size[b]) >= 4 * np.maximum(size[a], size[b]))
         for k in np.flatnonzero(ok):
             i, j = a[k], b[k]
             own = flat[end[i] - size[i] : end[i]]
@@ -214,45 +190,27 @@ def link_sets(sets: list, bucket: np.ndarray, side: np.ndarray) -> tuple[np.ndar
             ok[k] = 5 * both >= 4 * (size[i] + size[j] - both)
         return ok
 
-    return hooked(fps, bucket, side, REACH, similar)
-
-
-def _common(sets: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """(common shingles ascending, their places in the order, rarest first), from a sample of bounded size."""
-    some = sets.filter(F.pmod(seeded(7, F.col("key")), F.lit(max(1, rows // SAMPLE))) == 0).limit(2 * SAMPLE).select("hashes").toArrow()["hashes"].to_pylist()
-    common, times = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in some] or [np.zeros(0, np.uint64)]), return_counts=True)
-    top = np.argsort(-times, kind="stable")[: min(COMMON, int((times > 1).sum()))]
-    top = np.sort(top)
-    common, times = common[top], times[top]
-    del some
-    give_back()
-    return common, np.argsort(np.argsort(times, kind="stable"))
+    return hooked(fps[:, :2], bucket, side, FIRST, similar)
 
 
 def links(sets: DataFrame) -> DataFrame:
-    """``(a, b)``: links that join every similar pair of ``(key, hashes)``."""
+    """``(a, b)``: links that join every similar pair of ``(key, fp, hashes)``."""
     rows = sets.count()
-    common, seldom = _common(sets, rows)
-    tokens = stage(sets.mapInArrow(_prefixes(common, seldom), "key long, token long"), "jaccard-prefixes")
-    low = tokens.groupBy("token").agg(F.min("key").alias("low"), F.count("*").alias("n")).filter("n > 1")
-    near = tokens.join(low, "token").select(F.col("key").alias("a"), F.col("low").alias("b")).filter("a <> b")
-    group = stage(connected_components(near), "jaccard-groups")
+    group = stage(connected_components(near(sets.select("key", "fp"), rows)), "jaccard-groups")
     sizes = group.groupBy("root").agg(F.count("*").alias("n"))
     # large groups: chunk numbers by hash, one task for each pair of chunks
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    mine = F.pmod(F.xxhash64("node", F.lit(5)), chunks).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), chunks - 1), lambda o: F.struct(F.least(o, mine).alias("lo"), F.greatest(o, mine).alias("hi"), F.when(o == mine, 0).when(o > mine, 1).otherwise(2).alias("side")))
-    placed = group.join(sizes, "root").select("node", "root", "n", F.explode(pairs).alias("p"))
+    placed = group.join(sizes, "root").select("node", "root", "n", F.explode(chunk_pairs("node", chunks)).alias("p"))
     one = F.xxhash64("root", "p.lo", "p.hi")
     # small groups share tasks; sets of different groups are told apart by their bucket
     slot = F.when(F.col("n") > CHUNK // 8, one).otherwise(F.pmod(one, F.lit(max(1, -(-rows // TASK_SETS)))))
     placed = placed.select("node", one.alias("bucket"), F.col("p.side").alias("side"), slot.alias("slot"))
-    full = placed.join(sets, placed.node == sets.key).select("slot", "bucket", "side", "key", "hashes")
+    full = placed.join(sets, placed.node == sets.key).select("slot", "bucket", "side", "key", "fp", "hashes")
 
     def compare(t: pa.Table) -> pa.Table:
         keys, bucket, side = (t[c].to_numpy() for c in ("key", "bucket", "side"))
         sets = [np.frombuffer(x, np.uint64) for x in t["hashes"].to_pylist()]
-        a, b = link_sets(sets, bucket, side)
+        a, b = link_sets(sets, np.frombuffer(b"".join(t["fp"].to_pylist()), np.uint64).reshape(-1, WORDS), bucket, side)
         return pa.table({"a": keys[a], "b": keys[b]})
 
     return full.groupBy("slot").applyInArrow(compare, "a long, b long")
@@ -266,7 +224,7 @@ def components(docs: DataFrame, width: int = 5) -> DataFrame:
     live = stage(classes.join(sharing(docs, width, hashes), "key", "left_semi").select("low").distinct(), "jaccard-live")
     # the ids grow with the documents: one plan at every size, never a broadcast
     own = _own(docs).toDF("doc_id", "text").join(live.hint("merge"), F.col("doc_id") == F.col("low"), "left_semi")
-    sets = stage(_own(own).mapInArrow(_sets(width), "key long, hashes binary").dropDuplicates(["key"]), "jaccard-sets")
+    sets = stage(_own(own).mapInArrow(_sets(width), "key long, fp binary, hashes binary").dropDuplicates(["key"]), "jaccard-sets")
     found = connected_components(links(sets))
     of = stage(classes.join(found, classes.key == found.node, "left").select("key", "low", F.coalesce("root", "key").alias("root")), "jaccard-roots")
     lows = of.groupBy("root").agg(F.min("low").alias("component"))

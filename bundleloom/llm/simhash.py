@@ -8,6 +8,10 @@ all distances at once.  A block of rows is abandoned once every distance in it i
 Large buckets are cut into chunks compared pair by pair in tasks of their own; each task returns a
 spanning forest of its links, never all pairs.
 
+:func:`near` is the search for a radius too wide for buckets (a Jaccard similarity of 0.8): fingerprints of
+``WORDS`` * 64 bits, every one compared with every other.  The planes of the first 128 bits are compared as above,
+and all bits are counted where these lie within ``FIRST``.
+
 Defined cases: null or empty texts have no words and fingerprint zero, linked like any other; texts of
 fewer words than a shingle are hashed whole; null ids take part but never name a component (a component
 of null ids only has a null id); repeated rows give repeated results.
@@ -16,12 +20,12 @@ of null ids only has a null id); repeated rows give repeated results.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bundleloom.llm.common import by_place, connected_components, give_back, place, stage, text_slices
@@ -33,6 +37,16 @@ CHUNK = 4096
 #: Rows that one comparing task holds at a time, about.
 TASK_ROWS = 60_000
 
+#: Words of a wide fingerprint, bits of the first two that may differ, and of them all.  Sets of similarity 0.8 lie
+#: beyond FIRST with a chance of at most 2.7e-9, beyond RADIUS_WIDE of 8.1e-11 (four shingles against five; 7.8e-13
+#: and 1.3e-17 for sets of many); unrelated ones within RADIUS_WIDE with one of 1.7e-12.
+WORDS = 6
+FIRST = 52
+RADIUS_WIDE = 124
+#: Wide fingerprints of one chunk, and words of a plane compared at a time.
+SIDE = 16_384
+LANE_WORDS = 4096
+
 #: For each byte, its eight bits as eight 8-bit counters in one number.
 _SPREAD = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], dtype=np.uint64)
 
@@ -77,6 +91,17 @@ def majority(flat: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return out
 
 
+def wide(flat: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Fingerprints of ``WORDS`` words each: the majority of the hashes, then of remixes of them (SplitMix64)."""
+    out = [majority(flat, lens)]
+    for k in range(1, WORDS):
+        z = flat + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(majority(z ^ (z >> np.uint64(31)), lens))
+    return np.stack(out, axis=1)
+
+
 def fingerprint(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, fp)``: the fingerprint of every whole text as a signed long."""
 
@@ -92,11 +117,16 @@ def fingerprint(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: s
 # ---------------------------------------------------------------- bit-sliced comparison
 
 
+def _bits(fps: np.ndarray) -> np.ndarray:
+    """The bits of each fingerprint, a row each."""
+    return np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
+
+
 def planes_of(fps: np.ndarray) -> np.ndarray:
-    """Bit planes, stored vertically: row b holds bit b of all fingerprints, 64 of them in a word."""
+    """Bit planes, stored vertically: row b holds bit b of all fingerprints (of one word, or a row of words), 64 of them in a word."""
     n = -(-len(fps) // 64) * 64
-    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    full = np.zeros((64, n), dtype=np.uint8)
+    bits = _bits(fps)
+    full = np.zeros((bits.shape[1], n), dtype=np.uint8)
     full[:, : len(fps)] = bits.T
     return np.packbits(full, axis=1, bitorder="little").view(np.uint64)
 
@@ -114,7 +144,7 @@ def _shifted(planes: np.ndarray, d: int, words: int) -> np.ndarray:
 
 
 def within(left: np.ndarray, right: np.ndarray, radius: int, block: int = 256) -> np.ndarray:
-    """Lanes (as bits) whose 64 planes differ in at most ``radius`` places.
+    """Lanes (as bits) whose planes (64, or a multiple) differ in at most ``radius`` places.
 
     Carry-save: each plane's difference is added to a vertical counter; a lane that passes the radius is
     marked over for good, and a block of words is abandoned once all its lanes are over.
@@ -127,7 +157,7 @@ def within(left: np.ndarray, right: np.ndarray, radius: int, block: int = 256) -
         a, b = left[:, at : at + block], right[:, at : at + block]
         counter = [np.zeros(a.shape[1], dtype=np.uint64) for _ in range(width)]
         over = np.zeros(a.shape[1], dtype=np.uint64)
-        for p in range(0, 64, 2):
+        for p in range(0, len(left), 2):
             # two planes at once: a full adder on the lowest counter bit
             x, y = a[p] ^ b[p], a[p + 1] ^ b[p + 1]
             half = counter[0] ^ x
@@ -185,6 +215,11 @@ class Forest:
             while not np.array_equal(flat := up[up], up):
                 up[:] = flat
 
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """(places, the place each hangs on), without those that hang on none."""
+        child = np.flatnonzero(self.up != np.arange(len(self.up)))
+        return child, self.up[child]
+
 
 def hooked(fps: np.ndarray, bucket: np.ndarray, side: np.ndarray, radius: int, confirm: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(places, the place each hangs on): a spanning forest of the links among rows that share a bucket.
@@ -208,8 +243,8 @@ def hooked(fps: np.ndarray, bucket: np.ndarray, side: np.ndarray, radius: int, c
             if confirm is not None and len(hit := hit[forest.up[hit] != forest.up[hit + d]]):
                 hit = hit[confirm(order[hit], order[hit + d])]
             forest.join(hit, hit + d)
-    child = np.flatnonzero(forest.up != np.arange(n))
-    return order[child], order[forest.up[child]]
+    child, up = forest.links()
+    return order[child], order[up]
 
 
 def link_sorted(fps: np.ndarray, bucket: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -218,6 +253,63 @@ def link_sorted(fps: np.ndarray, bucket: np.ndarray, side: np.ndarray, radius: i
     return fps[a], fps[b]
 
 
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which wide fingerprints differ, row by row."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
+
+def crossed(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places in a, places in b) of all pairs whose first 128 bits lie within ``FIRST``, some rows of b at a time.
+
+    The planes of a are compared with each row of b spread over whole words.
+    """
+    if not len(a) or not len(b):
+        return
+    planes = planes_of(a[:, :2])
+    words = planes.shape[1]
+    step = min(len(b), max(1, LANE_WORDS // words))
+    left, spread = np.tile(planes, step), np.uint64(0) - _bits(b[:, :2]).T.astype(np.uint64)
+    for at in range(0, len(b), step):
+        right = np.repeat(spread[:, at : at + step], words, axis=1)
+        hit = lanes(within(left[:, : right.shape[1]], right, FIRST, block=4096), 64 * right.shape[1])
+        i, j = hit % (64 * words), at + hit // (64 * words)
+        yield i[i < len(a)], j[i < len(a)]
+
+
+def link_wide(fps: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links, as places, among wide fingerprints within ``RADIUS_WIDE``: of all (side 0), or across sides 1 and 2."""
+    a, forest = np.flatnonzero(side != 2), Forest(len(fps))
+    b = np.flatnonzero(side == 2) if side.any() else a
+    for i, j in crossed(fps[a], fps[b]):
+        i, j = a[i], b[j]
+        new = forest.up[i] != forest.up[j]
+        i, j = i[new], j[new]
+        hit = apart(fps[i], fps[j]) <= RADIUS_WIDE
+        forest.join(i[hit], j[hit])
+    return forest.links()
+
+
+def chunk_pairs(key: str, chunks: Column) -> Column:
+    """The pairs of chunks (lo, hi) that a row meets others in, chunk numbers by hash, and its side: 0 where both are its own."""
+    mine = F.pmod(F.xxhash64(key, F.lit(5)), chunks).cast("int")
+    return F.transform(F.sequence(F.lit(0), chunks - 1), lambda o: F.struct(F.least(o, mine).alias("lo"), F.greatest(o, mine).alias("hi"), F.when(o == mine, 0).when(o > mine, 1).otherwise(2).alias("side")))
+
+
+def near(wides: DataFrame, rows: int) -> DataFrame:
+    """``(a, b)``: keys of wide fingerprints ``(key, fp)``, linked so that all pairs within ``RADIUS_WIDE`` are joined.
+
+    Every pair of chunks is a task of its own, so fingerprints (and nothing else) travel once for each ``SIDE`` of them.
+    """
+    placed = wides.select("key", "fp", F.explode(chunk_pairs("key", F.lit(max(1, -(-rows // SIDE))))).alias("p"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        keys, side = t["key"].to_numpy(), t["side"].to_numpy()
+        a, b = link_wide(np.frombuffer(b"".join(t["fp"].to_pylist()), np.uint64).reshape(-1, WORDS), side)
+        return pa.table({"a": keys[a], "b": keys[b]})
+
+    return placed.select("key", "fp", "p.lo", "p.hi", "p.side").groupBy("lo", "hi").applyInArrow(compare, "a long, b long")
+
+
 def blocks_for(rows: int, radius: int) -> tuple[int, int]:
     """(bit blocks, blocks that must agree) so that buckets of evenly spread fingerprints stay small."""
     extra = 1
@@ -240,9 +332,7 @@ def links(distinct: DataFrame, rows: int, radius: int = RADIUS) -> DataFrame:
     keyed = keyed.join(sizes, ["table", "key"])
     # large buckets: chunk numbers by hash, one task for each pair of chunks
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    mine = F.pmod(F.xxhash64("fp", F.lit(5)), chunks).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), chunks - 1), lambda o: F.struct(F.least(o, mine).alias("lo"), F.greatest(o, mine).alias("hi"), F.when(o == mine, 0).when(o > mine, 1).otherwise(2).alias("side")))
-    placed = keyed.select("fp", "table", "key", "n", F.explode(pairs).alias("p"))
+    placed = keyed.select("fp", "table", "key", "n", F.explode(chunk_pairs("fp", chunks)).alias("p"))
     slots = max(1, -(-rows * len(keys) // TASK_ROWS))
     one = F.xxhash64("table", "key", "p.lo", "p.hi")
     slot = F.when(F.col("n") > CHUNK, one).otherwise(F.pmod(one, F.lit(slots)))

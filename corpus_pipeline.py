@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of
 ``documents``.  Near-duplicates are documents whose sets of five-word shingles are 0.8 similar (Jaccard) or
-more: the SimHash operator at a similarity, whose bit-sliced comparison screens pairs that intersections decide.
+more: the SimHash operator at a similarity, whose bit-sliced search proposes the pairs that intersections decide.
 """
 
 from __future__ import annotations

@@ -160,6 +160,52 @@ def test_pipeline_near_dedup_is_jaccard(spark, monkeypatch, chunk):
     assert None in kept and stage(spark, docs(spark, rows).limit(0), "").count() == 0
 
 
+def near_copies(seed):
+    rng = random.Random(seed)
+    base = [[f"v{rng.randrange(400)}" for _ in range(300)] for _ in range(20)]
+    edited = [[f"e{rng.randrange(50)}" if rng.random() < 0.01 else x for x in w] for w in base]
+    return [(i, " ".join(w)) for i, w in enumerate(base + edited)]
+
+
+def test_near_dedup_candidates_come_from_fingerprints(spark, monkeypatch):
+    rows = near_copies(5)
+    assert len(plain_kept(rows)) < len(rows)
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    asked, search = [], simhash.near
+    monkeypatch.setattr(jaccard, "near", lambda wides, n: asked.append(wides.columns) or search(wides, n))
+    assert {r.doc_id for r in stage(spark, docs(spark, rows), "").collect()} == plain_kept(rows) and asked == [["key", "fp"]]
+    # nothing else proposes: without the search only equal sets are joined
+    monkeypatch.setattr(jaccard, "near", lambda wides, n: wides.selectExpr("key as a", "key as b").limit(0))
+    assert stage(spark, docs(spark, [*rows, (900, rows[0][1])]), "").count() == len({frozenset(s) for s in plain_sets(rows)})
+
+
+def test_wide_search(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SIDE", 40)
+    rng = random.Random(9)
+    flip = lambda x, n: x ^ sum(1 << b for b in rng.sample(range(384), n))
+    fps = [rng.getrandbits(384) for _ in range(60)]
+    fps += [flip(rng.choice(fps[:30]), rng.choice([0, 1, 90, 124, 125, 150])) for _ in range(240)]
+    keys = [rng.getrandbits(64) - 2**63 for _ in fps]
+    found = simhash.near(spark.createDataFrame([(k, bytearray(f.to_bytes(48, "little"))) for k, f in zip(keys, fps)], "key long, fp binary"), len(fps)).collect()
+    low = (1 << 128) - 1
+    edges = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 124 and ((fps[i] ^ fps[j]) & low).bit_count() <= 52]
+    at = {k: i for i, k in enumerate(keys)}
+    assert components(len(fps), [(at[r.a], at[r.b]) for r in found]) == components(len(fps), edges)
+
+
+def test_similar_sets_lie_within_the_radius():
+    rng = np.random.default_rng(3)
+    pairs = [(4, 0, 1), (5, 0, 1), (8, 1, 1), (12, 0, 3), (16, 2, 2), (40, 5, 5), (80, 0, 20), (160, 20, 20)] * 150
+    sets = [[rng.integers(0, 2**63, n).astype(np.uint64) for n in p] for p in pairs]
+    each = [np.concatenate(x) for c, a, b in sets for x in ((c, a), (c, b))]
+    fps = simhash.wide(np.concatenate(each), np.array([len(x) for x in each]))
+    assert fps.shape == (len(each), simhash.WORDS) and np.array_equal(fps[:, 0], simhash.majority(np.concatenate(each), np.array([len(x) for x in each])))
+    apart = simhash.apart(fps[::2], fps[1::2])
+    assert apart.max() <= simhash.RADIUS_WIDE and simhash.apart(fps[::2][:, :2], fps[1::2][:, :2]).max() <= simhash.FIRST
+    far = simhash.apart(fps[:-2], fps[2:])
+    assert far.min() > simhash.RADIUS_WIDE and apart.mean() < 80 < 180 < far.mean()
+
+
 # ---------------------------------------------------------------- vectors
 
 ODD = [None, [], [0.0, 0.0, 0.0, 0.0], [1.0, None, 0.0, 0.0], [float("nan"), 1.0, 0.0, 0.0], [float("inf"), 1.0, 0.0, 0.0]]
