@@ -85,28 +85,32 @@ def seeded(seed: int, *cols: Column) -> Column:
     return F.xxhash64(F.lit(seed), *cols)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, merge: bool = False) -> DataFrame:
     """Components of an undirected graph: ``edges(a, b)`` longs -> ``(node, root)``, root the smallest node.
 
     Alternating large-star and small-star rounds.  Each round is two aggregations by key (combined on the
     map side) and two equi-joins against a table with one row per key, so a hub with a third of all edges
     is split by adaptive skew handling.  Each round is staged in the shared folder; only its checksum
     reaches the driver.  Self loops and nulls are ignored; an empty edge table gives an empty result.
+    merge: join by sort and merge at every size, so that no round is gathered on the driver to be broadcast.
     """
 
     def narrowed(e: DataFrame) -> DataFrame:
         return e.filter("a is not null and b is not null and a <> b").distinct()
 
+    def joined(side: DataFrame) -> DataFrame:
+        return side.hint("merge") if merge else side
+
     def large_star(e: DataFrame) -> DataFrame:
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+        low = joined(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")))
         up = both.filter("b > a")
         return narrowed(up.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")))
 
     def small_star(e: DataFrame) -> DataFrame:
         down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("low"))
-        moved = down.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        moved = down.join(joined(low), "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         return narrowed(moved.union(low.select("a", F.col("low").alias("b"))))
 
     def checksum(e: DataFrame) -> tuple:

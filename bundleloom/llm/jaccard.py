@@ -196,16 +196,16 @@ def link_sets(sets: list, fps: np.ndarray, bucket: np.ndarray, side: np.ndarray)
 def links(sets: DataFrame) -> DataFrame:
     """``(a, b)``: links that join every similar pair of ``(key, fp, hashes)``."""
     rows = sets.count()
-    group = stage(connected_components(near(sets.select("key", "fp"), rows)), "jaccard-groups")
+    group = stage(connected_components(near(sets.select("key", "fp"), rows), merge=True), "jaccard-groups")
     sizes = group.groupBy("root").agg(F.count("*").alias("n"))
     # large groups: chunk numbers by hash, one task for each pair of chunks
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    placed = group.join(sizes, "root").select("node", "root", "n", F.explode(chunk_pairs("node", chunks)).alias("p"))
+    placed = group.join(sizes.hint("merge"), "root").select("node", "root", "n", F.explode(chunk_pairs("node", chunks)).alias("p"))
     one = F.xxhash64("root", "p.lo", "p.hi")
     # small groups share tasks; sets of different groups are told apart by their bucket
     slot = F.when(F.col("n") > CHUNK // 8, one).otherwise(F.pmod(one, F.lit(max(1, -(-rows // TASK_SETS)))))
     placed = placed.select("node", one.alias("bucket"), F.col("p.side").alias("side"), slot.alias("slot"))
-    full = placed.join(sets, placed.node == sets.key).select("slot", "bucket", "side", "key", "fp", "hashes")
+    full = placed.join(sets.hint("merge"), placed.node == sets.key).select("slot", "bucket", "side", "key", "fp", "hashes")
 
     def compare(t: pa.Table) -> pa.Table:
         keys, bucket, side = (t[c].to_numpy() for c in ("key", "bucket", "side"))
@@ -218,18 +218,18 @@ def links(sets: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame, width: int = 5) -> DataFrame:
     """``(id, component)`` for each row of ``docs``, all of which have an id: the smallest id that similar pairs lead to."""
+    # all sides grow with the documents: one plan at every size, never a broadcast, which the driver would gather
     marked = stage(classes_of(docs, width), "jaccard-classes")
     classes = stage(marked.groupBy("key").agg(F.min("id").alias("low"), F.first("n").alias("n")), "jaccard-keys")
     hashes = classes.agg(F.sum("n")).first()[0] or 0
-    live = stage(classes.join(sharing(docs, width, hashes), "key", "left_semi").select("low").distinct(), "jaccard-live")
-    # the ids grow with the documents: one plan at every size, never a broadcast
+    live = stage(classes.join(sharing(docs, width, hashes).hint("merge"), "key", "left_semi").select("low").distinct(), "jaccard-live")
     own = _own(docs).toDF("doc_id", "text").join(live.hint("merge"), F.col("doc_id") == F.col("low"), "left_semi")
     sets = stage(_own(own).mapInArrow(_sets(width), "key long, fp binary, hashes binary").dropDuplicates(["key"]), "jaccard-sets")
-    found = connected_components(links(sets))
+    found = connected_components(links(sets), merge=True).hint("merge")
     of = stage(classes.join(found, classes.key == found.node, "left").select("key", "low", F.coalesce("root", "key").alias("root")), "jaccard-roots")
     lows = of.groupBy("root").agg(F.min("low").alias("component"))
-    named = of.join(lows, "root").select("key", "component")
-    return marked.join(named, "key").select("id", "component")
+    named = of.join(lows.hint("merge"), "root").select("key", "component")
+    return marked.join(named.hint("merge"), "key").select("id", "component")
 
 
 def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:

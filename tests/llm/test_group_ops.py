@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pickle
 import random
 
 import numpy as np
@@ -179,6 +180,20 @@ def test_near_dedup_candidates_come_from_fingerprints(spark, monkeypatch):
     assert stage(spark, docs(spark, [*rows, (900, rows[0][1])]), "").count() == len({frozenset(s) for s in plain_sets(rows)})
 
 
+def test_near_dedup_gathers_nothing_on_the_driver(spark, monkeypatch):
+    kind, got = type(spark.range(0)), []
+    for name in ("collect", "toArrow", "toPandas"):
+        monkeypatch.setattr(kind, name, lambda self, *a, f=getattr(kind, name), **k: got.append(f(self, *a, **k)) or got[-1])
+    store = spark._jsparkSession.sharedState().statusStore()
+    ran = lambda: {x.executionId(): x.physicalPlanDescription() for x in map(store.executionsList().apply, range(store.executionsList().size()))}
+    before = set(ran())
+    dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs(spark, near_copies(6)), "").write.format("noop").mode("overwrite").save()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    plans = [p for i, p in ran().items() if i not in before]
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastExchange" in p for p in plans)
+    assert got and sum(len(pickle.dumps(x)) for x in got) < 10_000
+
+
 def test_wide_search(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SIDE", 40)
     rng = random.Random(9)
