@@ -1,7 +1,8 @@
-"""The archive: bodies deflated in parallel, laid out by DataFrame, streamed in order into one file.
+"""The archive: bodies deflated in parallel, laid out by DataFrame, written into one file by the tasks.
 
-A single file has a single writer, so the driver writes; it holds one partition of bodies at a time and one
-row of the directory at a time.  The result is put in place by a rename.
+Every record's place is known beforehand, so each task writes its own runs of the file, bodies first and then the
+directory; the driver gets counts, adds the closing records and renames.  Where tasks don't see the folder of the
+archive, the driver writes, and holds one partition at a time.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from bundleloom.staging import is_staged, stage
 #: 1980-01-01 00:00, read-only DOS attributes.
 DOS_DATE, DOS_TIME, ATTRIBUTES = 0x0021, 0, 1
 LIMIT, MANY = 0xFFFFFFFF, 0xFFFF
+#: Bytes that a task gathers before it writes them, about.
+RUN_BYTES = 4 << 20
 
 
 def deflate(data: bytes) -> bytes:
@@ -94,30 +97,97 @@ def end_records(count: int, size: int, start: int) -> bytes:
     return out + struct.pack("<IHHHHIIH", 0x06054B50, 0, 0, count, count, size, start, 0)
 
 
+def _body(rel: bytes, flags: int, method: int, crc: int, uncomp: int, comp: int, payload: bytes) -> tuple[bytes, bytes]:
+    return local_record(rel, flags, method, crc, uncomp, comp), payload
+
+
+def _entry(*fields) -> tuple[bytes]:
+    return (central_record(*fields),)
+
+
+def _write_at(handle: int, pieces: list[bytes], at: int) -> None:
+    rest = memoryview(pieces[0] if len(pieces) == 1 else b"".join(pieces))
+    while rest:
+        n = os.pwrite(handle, rest, at)
+        rest, at = rest[n:], at + n
+
+
+def put(records: DataFrame, path: str, make) -> tuple[int, int, int] | None:
+    """Tasks write ``make(*fields)`` of each row ``(at, *fields)`` at its place: (records, bytes, end of the last one).
+
+    None if a task doesn't see the file, which isn't made here: a folder of that name on another machine is another
+    one.  A task that runs twice writes the same bytes to the same place.
+    """
+
+    def run(batches):
+        n = size = end = 0
+        try:
+            handle = os.open(path, os.O_WRONLY)
+        except OSError:
+            for _ in batches:
+                pass
+            yield pa.RecordBatch.from_pydict({"seen": [False], "n": [0], "size": [0], "end": [0]})
+            return
+        try:
+            held, begins, ends = [], 0, 0
+            for b in batches:
+                for at, *fields in zip(*(c.to_pylist() for c in b.columns)):
+                    if held and (at != ends or ends - begins >= RUN_BYTES):
+                        _write_at(handle, held, begins)
+                        held = []
+                    if not held:
+                        begins = ends = at
+                    made = make(*fields)
+                    held += made
+                    ends += sum(map(len, made))
+                    n, size, end = n + 1, size + ends - at, max(end, ends)
+            if held:
+                _write_at(handle, held, begins)
+            os.fsync(handle)
+        finally:
+            os.close(handle)
+        yield pa.RecordBatch.from_pydict({"seen": [True], "n": [n], "size": [size], "end": [end]})
+
+    done = records.mapInArrow(run, "seen boolean, n bigint, size bigint, end bigint").collect()  # one row for each task
+    if not all(r.seen for r in done):
+        return None
+    return sum(r.n for r in done), sum(r.size for r in done), max((r.end for r in done), default=0)
+
+
+def put_by_driver(records: DataFrame, path: str, make) -> tuple[int, int, int]:
+    """What :func:`put` does, one partition at a time through the driver."""
+    n = size = end = 0
+    with open(path, "r+b", buffering=1 << 20) as f:
+        for at, *fields in records.toLocalIterator():
+            made = b"".join(make(*fields))
+            if f.tell() != at:
+                f.seek(at)
+            f.write(made)
+            n, size, end = n + 1, size + len(made), max(end, at + len(made))
+    return n, size, end
+
+
 def write(optimized: DataFrame, path: str, o: Options = Options()) -> dict:
     """Write the archive; gives entries, bodies, dedup_saved and the file's size.  The same input gives the same bytes."""
     full, rows = plan(optimized, o)
+    fields = [F.col("rel").cast("binary"), "flags", "method", "crc", "uncomp_size", "comp_size"]
+    length = layout.central_length(F.col("rel"), F.col("uncomp_size"), F.col("comp_size"), F.col("local_offset"))
     folder = os.path.dirname(os.path.abspath(path))
     handle, temp = tempfile.mkstemp(prefix=".bundleloom-", dir=folder)
+    os.close(handle)
     try:
+        rows = layout.running_offsets(rows.withColumn("cen_len", length), ["rel", "ordinal"], "cen_len", "at")
         saved = layout.dedup_savings(rows).first()[0]
-        at = n_bodies = n_rows = 0
-        with os.fdopen(handle, "wb", buffering=1 << 20) as f:
-            order = full.orderBy("local_offset").select("rel", "flags", "method", "crc", "uncomp_size", "comp_size", "payload")
-            for r in order.toLocalIterator():
-                record = local_record(r.rel.encode("utf-8", "surrogatepass"), *r[1:6])
-                f.write(record)
-                f.write(r.payload)
-                at += len(record) + len(r.payload)
-                n_bodies += 1
-            start = at
-            order = rows.orderBy("rel", "ordinal").select("rel", "flags", "method", "crc", "uncomp_size", "comp_size", "local_offset")
-            for r in order.toLocalIterator():
-                record = central_record(r.rel.encode("utf-8", "surrogatepass"), *r[1:])
-                f.write(record)
-                at += len(record)
-                n_rows += 1
-            f.write(end_records(n_rows, at - start, start))
+        order = full.orderBy("local_offset").select(F.col("local_offset").alias("at"), *fields, "payload")  # so that runs are long
+        n_bodies, size, start = put(order, temp, _body) or put_by_driver(order, temp, _body)
+        order = rows.select((F.col("at") + start).alias("at"), *fields, "local_offset")
+        n_rows, listed, end = put(order, temp, _entry) or put_by_driver(order, temp, _entry)
+        end = max(start, end)
+        if size < start or listed < end - start:
+            raise RuntimeError(f"{path}: records don't fill their places")
+        with open(temp, "r+b") as f:
+            f.seek(end)
+            f.write(end_records(n_rows, end - start, start))
             f.flush()
             os.fsync(f.fileno())
         os.chmod(temp, 0o644)

@@ -167,6 +167,64 @@ def test_write(spark, tree, tmp_path):
     assert not [p for p in os.listdir(tmp_path) if p.startswith(".bundleloom")]
 
 
+def test_tasks_write_the_archive(spark, tmp_path, monkeypatch):
+    rows = [(f"{'é' if i % 3 else 'd'}/{i}.txt", i, 8 * (i % 2), bytes([i % 7]) * (i * 5000 % 300_001)) for i in range(200)]
+    files = spark.createDataFrame([(r, i, m, bytearray(d)) for r, i, m, d in rows], "rel string, ordinal long, method int, data binary").repartition(5)
+    made = archive.write(files, str(tmp_path / "a.zip"))
+    with monkeypatch.context() as m:
+        m.setattr(archive, "put", lambda *_: None)  # the folder isn't seen by tasks
+        assert archive.write(files, str(tmp_path / "b.zip")) == made
+    data = (tmp_path / "a.zip").read_bytes()
+    assert (tmp_path / "b.zip").read_bytes() == data and len(data) == made["size"]
+    assert [(n, d) for n, _, d in directory(data)] == [(r, d) for r, _, _, d in sorted(rows, key=lambda r: r[0].encode())]
+
+    def gathered(*_, **__):
+        raise AssertionError("rows are sent to the driver")
+
+    monkeypatch.setattr(type(files), "toLocalIterator", gathered)
+    archive.write(files, str(tmp_path / "c.zip"))
+    assert (tmp_path / "c.zip").read_bytes() == data
+    assert archive.write(files.limit(0), str(tmp_path / "d.zip"))["size"] == 22
+    missing = tmp_path / "none"
+    assert archive.put(spark.range(3).selectExpr("id AS at", "binary('x') AS b"), str(missing), lambda b: (b,)) is None and not missing.exists()
+
+
+def test_zip_directory_is_read_in_slices(tmp_path):
+    p = tmp_path / "s.zip"
+    p.write_bytes(b"in front of the archive")
+    with zipfile.ZipFile(p, "a", zipfile.ZIP_DEFLATED) as z:
+        z.comment = b"PK and more"
+        for i in range(11):
+            z.writestr(f"./{'é' if i % 2 else 'e'}/{i}.txt", b"%d" % i * i * 1000)
+            z.writestr(f"{i}/", "")
+        link = zipfile.ZipInfo("link")
+        link.create_system, link.external_attr = 3, 0o120777 << 16
+        z.writestr(link, "0.txt")
+        with z.open(zipfile.ZipInfo("wide"), "w", force_zip64=True) as f:
+            f.write(b"w" * 10)
+    with zipfile.ZipFile(p) as z:
+        want = [(m.filename, i, z.read(m)) for i, m in enumerate(z.infolist()) if not m.is_dir() and m.filename != "link"]
+    for most in (1, 2, 5, 100):
+        got, slices = [], list(pack.zip_slices(str(p), most))
+        assert len(slices) == -(-24 // most) and sum(s.count for s in slices) == 24
+        with open(p, "rb") as f:
+            for s in slices:
+                z, members = pack.zip_members(f, s)
+                got += [(m.filename, i, z.read(m)) for m, i in members]
+        assert got == want
+    reader = pack._Reader(str(p), True)
+    assert [len(r) for r in map(list, map(reader.read, reader.partitions()))] == [12]
+    (tmp_path / "bad.zip").write_bytes(b"no archive")
+    with pytest.raises(zipfile.BadZipFile):
+        pack.check(str(tmp_path / "bad.zip"))
+    with zipfile.ZipFile(tmp_path / "many.zip", "w") as z:  # more entries than the short closing record counts
+        for i in range(70_000):
+            z.writestr(f"{i}", b"")
+    parts = pack._Reader(str(tmp_path / "many.zip"), False).partitions()
+    assert [(s.first, s.count) for s in parts] == [(0, 50_000), (50_000, 20_000)]
+    assert next(pack._Reader(str(tmp_path / "many.zip"), True).read(parts[1]))[0] == "50000"
+
+
 def test_dry_run_and_errors(spark, tree, tmp_path, monkeypatch):
     out = tmp_path / "o.zip"
     r = PackEngine(spark, str(tree), Options(dry_run=True)).write(str(out))
