@@ -54,15 +54,16 @@ def _finish(df: DataFrame, data: Column, note: Column) -> DataFrame:
 
 
 def _media(df: DataFrame, which: dict, o: Options) -> DataFrame:
-    """Media files through the function of their extension."""
+    """Media files through the function of their extension; unreadable ones pass."""
     schema = "rel string, ordinal bigint, ext string, kind string, orig bigint, new bigint, method int, changed boolean, skipped boolean, note string, data binary, error string"
 
     def run(batches):
         for b in batches:
-            made = [which[e](d.as_py(), o) for e, d in zip(b.column("ext").to_pylist(), b.column("data"))]
+            read = zip(b.column("ext").to_pylist(), (d.as_py() for d in b.column("data")), b.column("error").to_pylist())
+            made = [which[e](d, o) if d is not None and error is None else (d, DEFLATE, None if d is None else False, "") for e, d, error in read]
             cols = {c: b.column(c) for c in ("rel", "ordinal", "ext", "kind", "orig", "error")}
             cols |= {
-                "new": pa.array([len(m[0]) for m in made], pa.int64()), "method": pa.array([m[1] for m in made], pa.int32()),
+                "new": pa.array([None if m[0] is None else len(m[0]) for m in made], pa.int64()), "method": pa.array([m[1] for m in made], pa.int32()),
                 "changed": pa.array([m[2] for m in made], pa.bool_()), "skipped": pa.array([False] * len(made), pa.bool_()),
                 "note": pa.array([m[3] for m in made], pa.string()), "data": pa.array([m[0] for m in made], pa.binary()),
             }
@@ -98,7 +99,7 @@ def optimize(files: DataFrame, o: Options = Options(), media_files: bool | None
         media_files = has_media(files)
     if not media_files or not by_media:
         return _finish(base, new.otherwise(data), note.otherwise(F.lit("")))
-    mine = readable & ext.isin([e for exts in by_media.values() for e in exts])
+    mine = ext.isin([e for exts in by_media.values() for e in exts])  # by path alone: content that is made isn't made for both branches
     plain = _finish(base.filter(~mine), new.otherwise(data), note.otherwise(F.lit("")))
     which = {e: fn for fn, exts in by_media.items() for e in exts}
     return plain.unionByName(_media(base.filter(mine), which, o))

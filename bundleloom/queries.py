@@ -419,15 +419,15 @@ def directory_scan(spark, sf_dir):
 
 
 def _made(df: DataFrame, ext: str, fn) -> DataFrame:
-    """A pack of files that ``fn(key)`` makes for each key."""
+    """A pack of files that ``fn(key)`` makes for each key.  Keys lie close together, in few tasks, so they are dealt out first."""
 
-    def run(batches):
-        for b in batches:
-            keys = b.column(0).to_pylist()
-            data = pa.array([fn(k) for k in keys], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([f"m/{k}{ext}" for k in keys]), b.column(0), data, pa.nulls(len(keys), pa.string())], ["rel", "ordinal", "data", "error"])
+    def make(keys: pa.Array) -> pa.Array:
+        return pa.array([fn(k) for k in keys.to_pylist()], pa.binary())
 
-    return df.mapInArrow(run, "rel string, ordinal bigint, data binary, error string")
+    key, spark = F.col(df.columns[0]), df.sparkSession
+    dealt = df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    rel = F.concat(F.lit("m/"), key.cast("string"), F.lit(ext))
+    return dealt.select(rel.alias("rel"), key.alias("ordinal"), F.arrow_udf(make, "binary")(key).alias("data"), F.lit(None).cast("string").alias("error"))
 
 
 def _png_of(k: int) -> bytes:

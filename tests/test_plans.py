@@ -40,6 +40,27 @@ def test_one_scan_without_media_two_with(spark, tmp_path):
     assert summary.count("FileScan") == 1
 
 
+def test_unreadable_media_pass(spark):
+    rows = [("a.png", 0, None, "gone"), ("b.ogg", 1, bytearray(b"OggS"), "half"), ("c.png", 2, None, None), ("d.txt", 3, None, "gone"), ("e.ogg", 4, bytearray(b"no"), None)]
+    got = sorted(optimize(spark.createDataFrame(rows, FILES)).select("rel", "new", "method", "changed", "note", "data", "error").collect())
+    assert [tuple(r)[:5] for r in got] == [("a.png", None, 8, None, ""), ("b.ogg", 4, 8, False, ""), ("c.png", None, 8, None, ""), ("d.txt", None, 8, None, ""), ("e.ogg", 2, 0, False, "")]
+    assert [(r.data and bytes(r.data), r.error) for r in got] == [(None, "gone"), (b"OggS", "half"), (None, None), (None, "gone"), (b"no", None)]
+
+
+def test_made_files_are_made_once_in_many_tasks(spark):
+    from bundleloom.queries import _made
+
+    made = spark.sparkContext.accumulator(0)
+
+    def fn(k):
+        made.add(1)
+        return b"Riff%d" % k
+
+    done = optimize(_made(spark.range(1000).coalesce(1), ".ogg", fn), media_files=True)
+    counts = [r["count"] for r in done.select(F.spark_partition_id().alias("p"), "data").filter("data is not null").groupBy("p").count().collect()]
+    assert sum(counts) == made.value == 1000 and max(counts) <= 1000 / 8 + 20
+
+
 def test_own_optimizer_and_last_registration(spark, tmp_path):
     before = dict(registry._registry)
     try:
